@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe
+from tessella.llm import bpe, simhash
 
-MODULES = (bpe,)
+MODULES = (bpe, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
