@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, simhash
+from tessella.llm import bpe, quality, simhash
 
-MODULES = (bpe, simhash)
+MODULES = (quality, bpe, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
