@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, decontaminate, quality, simhash
+from tessella.llm import bpe, decontaminate, langid, quality, simhash
 
-MODULES = (quality, bpe, decontaminate, simhash)
+MODULES = (quality, langid, bpe, decontaminate, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
