@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, decontaminate, langid, lm, quality, simhash
+from tessella.llm import bpe, chat, decontaminate, langid, lm, quality, simhash, urls
 
-MODULES = (lm, quality, langid, bpe, decontaminate, simhash)
+MODULES = (lm, chat, quality, langid, bpe, urls, decontaminate, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
