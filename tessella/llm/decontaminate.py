@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.llm.batches import row_key
 from tessella.session import written
 from tessella.sources import table
 
@@ -50,11 +51,6 @@ def _shingles(of: Column, n: int | Column) -> Column:
     return F.transform(places, lambda i: F.struct(F.xxhash64(F.slice(of, i + 1, n)).alias("hash"), i.alias("pos")))
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """The row's key with a hash of its text: a null key is a value like others, and rows that share a key stay apart."""
-    return F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-
-
 def windows(items: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
     """One row for each distinct window: ``window`` (its number), ``words``, ``length``, ``items`` (ids as strings)."""
     df = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("w")).filter("size(w) > 0")

@@ -26,6 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.batches import row_key
 from tessella.session import written
 from tessella.sources import table
 
@@ -195,6 +196,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return scored(measured, model(measured))
 
 
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept."""
+    found = judge(docs.select(row_key(id_col, text_col).alias("__key"), text_col), "__key", text_col)
+    rejected = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.join(rejected, row_key(id_col, text_col) == F.col("__key"), "left_anti")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents"))
     return found.select(
