@@ -83,6 +83,7 @@ class Encoder:
             self.ranks.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
         self.chunks: dict[str, tuple] = {}
         self.words: dict[str, list[int]] = {}
+        self.packed: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -154,6 +155,30 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         return b"".join([p[0] for p in self.parts(text)])
 
+    def ids(self, text: str | None) -> bytes:
+        """As ``encode``, without the strings that digests are made of."""
+        out, known = [], self.packed
+        for x in ascii_split(text or ""):
+            found = known.get(x)
+            if found is None:
+                found = self._packed(x)
+            out.append(found)
+        return b"".join(out)
+
+    def _packed(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            ids = self.word(chunk.lower())
+        elif self.cut is not None and "<" in chunk:
+            return self.chunk(chunk)[0]
+        else:
+            ids = self.plain(chunk)
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= LONGEST_REMEMBERED:
+            if len(self.packed) >= REMEMBERED:
+                self.packed.clear()
+            self.packed[chunk] = found
+        return found
+
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings of ``ids`` in one string; this file names no decoder, so one space joins them."""
         return " ".join([self.strings[i] for i in ids])
@@ -182,7 +207,7 @@ class Tokenizer:
 _WORKER: dict[str, Encoder] = {}
 
 
-def _worker_encoder(digest: str, held) -> Encoder:
+def worker_encoder(digest: str, held) -> Encoder:
     if digest not in _WORKER:
         _WORKER.clear()
         _WORKER[digest] = Encoder(held.value)
@@ -201,7 +226,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     held, digest = tokenizer.held, tokenizer.digest
 
     def make():
-        encoder = _worker_encoder(digest, held)
+        encoder = worker_encoder(digest, held)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             coded = [encoder.encode(t) for t in batch.column(1).to_pylist()]
@@ -225,7 +250,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     held, digest = tokenizer.held, tokenizer.digest
 
     def make():
-        encoder = _worker_encoder(digest, held)
+        encoder = worker_encoder(digest, held)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [encoder.decode(ids or []) for ids in batch.column(1).to_pylist()]
@@ -247,7 +272,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     held, digest = tokenizer.held, tokenizer.digest
 
     def make():
-        encoder = _worker_encoder(digest, held)
+        encoder = worker_encoder(digest, held)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, ids_sha, text_sha, coded, ends = [], [], [], [], [0]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, chat, decontaminate, langid, lm, passages, quality, simhash, urls
+from tessella.llm import bpe, chat, decontaminate, idfiles, langid, lm, passages, quality, simhash, urls
 
-MODULES = (lm, chat, quality, langid, bpe, passages, urls, decontaminate, simhash)
+MODULES = (lm, chat, quality, langid, bpe, passages, urls, idfiles, decontaminate, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
