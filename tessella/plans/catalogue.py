@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import text
+from tessella.plans import scores, text
 
-MODULES = (text,)
+MODULES = (text, scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
