@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import design, scores, tables, text
+from tessella.plans import design, prep, scores, tables, text
 
-MODULES = (text, scores, tables, design)
+MODULES = (text, prep, scores, tables, design)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
