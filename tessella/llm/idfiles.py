@@ -82,7 +82,7 @@ class Coder:
         self.at = np.zeros(lanes, np.int64)
         self.decoding = data is not None
         if data is None:
-            self.words = np.zeros((lanes, longest * 3 + 8), np.uint16)
+            self.words = np.zeros((lanes, longest + 8), np.uint16)
         else:
             self.words = np.zeros((lanes, max(map(len, data), default=0) // 2 + 8), np.uint16)
             for i, d in enumerate(data):
@@ -111,6 +111,12 @@ class Coder:
         self.code[lanes] = self.code[lanes] << WORD | self.words[lanes, self.at[lanes]].astype(np.uint64)
         self.at[lanes] += 1
 
+    def _grow(self, more: int) -> None:
+        """Room for ``more`` words beyond the longest lane."""
+        short = int(self.at.max(initial=0)) + more - self.words.shape[1]
+        if not self.decoding and short > 0:
+            self.words = np.concatenate((self.words, np.zeros((self.lanes, max(short, self.words.shape[1] // 2)), np.uint16)), axis=1)
+
     def _narrow(self, n: int, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         """The first ``n`` lanes' intervals become the parts from ``start`` of ``size`` units; settled words go out or come in."""
         low, wide = self.low[:n], self.range[:n]
@@ -143,6 +149,8 @@ class Coder:
 
     def step(self, n: int, t: int, ids: np.ndarray | None) -> np.ndarray:
         """Codes id ``t`` of the first ``n`` lanes, or reads it."""
+        if t % FRESH == 0:
+            self._grow(3 * FRESH + 8)  # an id takes 40 bits at most
         if t % FRESH == 0 and t:
             self.high_sums[:n] = self._sums(self.high[:n])
         if t % LOW_FRESH == 0 and t:
@@ -200,6 +208,7 @@ class Coder:
         return found
 
     def finish(self) -> list[bytes]:
+        self._grow(8)
         for _ in range(4):
             self.words[self.rows, self.at] = self.low >> np.uint64(48)
             self.low = self.low << WORD
@@ -220,12 +229,12 @@ def pack(blocks: list[np.ndarray]) -> list[bytes]:
     out: list[bytes] = [b""] * len(blocks)
     for group, running in _in_step(np.array([len(b) for b in blocks], np.int64)):
         longest = len(running)
-        wide = np.zeros((longest, len(group)), np.int64)
+        wide = np.zeros((longest, len(group)), np.uint16)
         for lane, i in enumerate(group):
             wide[: len(blocks[i]), lane] = blocks[i]
         coder = Coder(len(group), longest)
         for t in range(longest):
-            coder.step(running[t], t, wide[t, : running[t]])
+            coder.step(running[t], t, wide[t, : running[t]].astype(np.int64))
         for lane, data in zip(group, coder.finish(), strict=True):
             out[lane] = data
     return out
@@ -236,11 +245,11 @@ def unpack(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(data)
     for group, running in _in_step(np.array(sizes, np.int64)):
         coder = Coder(len(group), 0, [data[i] for i in group])
-        wide = np.zeros((len(running), len(group)), np.uint32)
+        wide = np.zeros((len(running), len(group)), np.uint16)
         for t in range(len(running)):
             wide[t, : running[t]] = coder.step(running[t], t, None)
         for lane, i in enumerate(group):
-            out[i] = wide[: sizes[i], lane].copy()
+            out[i] = wide[: sizes[i], lane].astype(np.uint32)
     return out
 
 
