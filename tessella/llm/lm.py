@@ -40,7 +40,7 @@ ORDER = 2
 #: Pseudo-tokens that a history gives to the shorter order.
 STRENGTH = 1000.0
 #: Bytes of text in a block, and what a shard's share is made of.
-BLOCK = 24_000_000
+BLOCK = 12_000_000
 ADD = 0.1
 #: The end of a text (no word is empty) and what stands before its first word.
 END, BEGIN = 0, 1
