@@ -164,12 +164,12 @@ def q_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = whole.withColumn("d", F.col("left") - F.col("right")).unionByName(part, allowMissingColumns=True)
     nations = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     return both.join(nations, "o_custkey").groupBy("c_nationkey").agg(
-        F.count("d").alias("n_pairs"), F.count_if(F.col("d").isNull()).alias("n_incomplete"), F.round(F.avg("d"), 3).alias("mean_difference")
+        F.count("d").alias("n_pairs"), F.count_if(F.col("d").isNull()).alias("n_incomplete"), F.round(F.avg("d"), 6).alias("mean_difference")
     )
 
 
 SQL_CONTRAST = CELLS + """
-SELECT c_nationkey, count(l - r) AS n_pairs, count_if(l - r IS NULL)::BIGINT AS n_incomplete, round(avg(l - r), 3) AS mean_difference FROM sides JOIN nations USING (o_custkey) GROUP BY 1
+SELECT c_nationkey, count(l - r) AS n_pairs, count_if(l - r IS NULL)::BIGINT AS n_incomplete, round(avg(l - r), 6) AS mean_difference FROM sides JOIN nations USING (o_custkey) GROUP BY 1
 """
 
 
