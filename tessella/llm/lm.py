@@ -40,7 +40,7 @@ ORDER = 2
 #: Pseudo-tokens that a history gives to the shorter order.
 STRENGTH = 1000.0
 #: Bytes of text in a block, and what a shard's share is made of.
-BLOCK = 12_000_000
+BLOCK = 8_000_000
 ADD = 0.1
 #: The end of a text (no word is empty) and what stands before its first word.
 END, BEGIN = 0, 1
@@ -55,6 +55,17 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as the bytes of their differences, highest bytes first: the first planes are zeros, which shuffles compress."""
+    steps = np.diff(x, prepend=np.uint64(0)).astype(">u8")
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel()
+    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
+
+
 class Grams:
     """Distinct n-grams of a block of texts.
 
@@ -187,7 +198,7 @@ def requests(block: pa.Table, order: int, shards: int) -> pa.Table:
     for k in range(1, order + 1):
         by, ends = grams.dealt(k, shards)
         hashes, n = grams.hashes[k][by], counts[k][by].astype(np.int64)
-        columns[f"h{k}"] = [hashes[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        columns[f"h{k}"] = [packed(hashes[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         columns[f"c{k}"] = [n[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
     return pa.table(columns, schema=request_schema(order))
 
@@ -202,7 +213,7 @@ def answers(shard: pa.Table, order: int) -> pa.Table:
     columns: dict[str, list] = {"block": shard.column("block").to_pylist(), "shard": shard.column("shard").to_pylist()}
     tokens = distinct = 0
     for k in range(1, order + 1):
-        asked = [np.frombuffer(x, np.uint64) for x in shard.column(f"h{k}").to_pylist()]
+        asked = [unpacked(x) for x in shard.column(f"h{k}").to_pylist()]
         n = np.concatenate([np.frombuffer(x, np.int64) for x in shard.column(f"c{k}").to_pylist()])
         known, place = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.zeros(len(known), np.int64)

@@ -64,6 +64,12 @@ def test_equals_recursion(spark, order, block):
         assert np.allclose(tuple(r)[5:], want[r.doc_id][4:], atol=1e-6)
 
 
+def test_packed_hashes():
+    for n in (0, 1, 1000):
+        x = np.sort(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))
+        assert lm.unpacked(lm.packed(x)).tolist() == x.tolist()
+
+
 def test_distribution():
     """Next-word probabilities of a history, the unknown word included, add up to one."""
     texts = ["a b a c a b", "b c", "a b unknown"]
