@@ -70,3 +70,12 @@ def test_classifier(spark):
     model = Classifier(["a", "b"]).fit(df, "y")
     assert model.contributions()[0][0] == "a"
     assert model.score(df, "p").filter("(p > 0.5) <> (y = 1)").count() == 0
+
+
+def test_quality_classifier_scores_every_document(spark):
+    from tessella.plans.prep import q_classifier
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").select("doc_id") for t in ("documents", "labels"))
+    want = sorted(r.doc_id for r in docs.join(labels, "doc_id").collect())
+    assert sorted(r.doc_id for r in q_classifier(spark, sf).collect()) == want and len({i % 2 for i in want}) == 2
