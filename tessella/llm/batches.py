@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of a batch that are turned to Python objects at a time; whole texts can be long.
 SLICE = 256
+#: And their bytes.
+BYTES = 4_000_000
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,8 +28,14 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, SLICE):
-        yield batch.slice(start, SLICE)
+    """Parts of ``SLICE`` rows at most whose texts (column 1) have ``BYTES`` at most; a longer text is a part of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) if pa.types.is_string(batch.schema[1].type) else np.zeros(batch.num_rows, np.int64)
+    ends, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, min(start + SLICE, int(np.searchsorted(ends, before + BYTES, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: StructType | str) -> DataFrame:
