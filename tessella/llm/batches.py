@@ -27,9 +27,17 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
 
 
+def without_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in the one column of ``keys``; columns of ``docs`` may have any names."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("key"))
+    kept = rows.join(keys.toDF("gone").distinct(), F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of ``SLICE`` rows at most whose texts (column 1) have ``BYTES`` at most; a longer text is a part of its own."""
-    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) if pa.types.is_string(batch.schema[1].type) else np.zeros(batch.num_rows, np.int64)
+    texts = batch.num_columns > 1 and pa.types.is_string(batch.column(1).type)
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) if texts else np.zeros(batch.num_rows, np.int64)
     ends, start = np.cumsum(size), 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0

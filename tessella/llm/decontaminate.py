@@ -4,16 +4,20 @@ An item's windows are its runs of ``window`` words (an item of fewer words is on
 window). A document word inside any occurrence of a window is hit.
 
 Method: a window can only occur where all of its word shingles do, so for exact
-containment one shingle is prefix enough: the rarest over the documents. One pass
-joins the documents' shingles to those of the items and counts them; each distinct
-window then keeps its rarest shingle, and only that one makes candidates. Length
-and position bound them (the window must lie inside the text), and a second pass
-compares the words of each candidate's place with the window's.
+containment one shingle is prefix enough: the rarest. Shingles are ordered by the number
+of items that have them, then by hash, before any document is read; windows that
+overlap mostly share their least one. One pass joins the documents' shingles to these
+prefixes. Length and position bound the candidates (the window must lie inside the
+text), and a second pass compares the words of each candidate's place with the window's.
 
-All of it is DataFrame functions. No side is broadcast by hint: the items' tables
-are written first, so Spark sees their size and joins by shuffle where they are
-large. Candidates are linear in the documents' shingles that items share; equal
-windows of many items are one window.
+All of it is DataFrame functions. The prefixes' hashes are broadcast if there are
+``BROADCAST`` of them at most, which is counted; more are joined by shuffle. Candidates
+are linear in the documents' shingles that are prefixes; equal windows of many items
+are one window, whose items are looked up once a document.
+
+Words are compared as their UTF-8 bytes read as ISO-8859-1: there, lower case changes
+A-Z and the first bytes of some characters, and words stay equal or different as they
+were, since what follows a first byte tells how long its character is.
 
 Defined cases: null, empty and wordless texts have no words and no hits; items
 without words have no windows; rows that repeat are judged alike, rows that share a
@@ -23,32 +27,40 @@ nothing is hit.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessella.llm.batches import row_key
+from tessella.llm.batches import row_key, without_rows
 from tessella.session import written
 from tessella.sources import table
 
 WINDOW = 13
 #: Words of a shingle; shorter items have one of their own length.
 SHINGLE = 5
+#: Hashes (8 bytes each) that are broadcast at most.
+BROADCAST = 1_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased (A-Z) runs of digits, letters and all characters beyond ASCII."""
-    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
+    """Runs of digits, letters and all characters beyond ASCII, as ISO-8859-1, in lower case."""
+    lowered = F.lower(F.decode(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), "ISO-8859-1"))
+    return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
-def _shingles(of: Column, n: int | Column) -> Column:
-    """Hash and place of each shingle of ``n`` words; none if there are fewer words."""
-    places = F.when(F.size(of) >= n, F.sequence(F.lit(0), F.size(of) - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(F.xxhash64(F.slice(of, i + 1, n)).alias("hash"), i.alias("pos")))
+def shingled(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """``df``, which has words ``w``, with a row for each shingle of one of ``sizes`` words: ``size``, ``pos``, ``hash``; made without a lambda."""
+    most = max(sizes)
+    starts = F.arrays_zip(*[F.slice("w", i + 1, F.greatest(F.size("w"), F.lit(1))).alias(f"w{i}") for i in range(most)])
+    kept = [c for c in df.columns if c != "w"]
+    df = df.select(*kept, F.posexplode(starts).alias("pos", "run"))
+    word = lambda i: F.col("run").getField(f"w{i}")
+    hashed = lambda n: F.xxhash64(*[word(i) for i in range(n)])
+    if sizes == [most]:
+        return df.filter(word(most - 1).isNotNull()).select(*kept, F.lit(most).alias("size"), "pos", hashed(most).alias("hash"))
+    each = F.array(*[F.when(word(n - 1).isNotNull(), F.struct(F.lit(n).alias("size"), hashed(n).alias("hash"))) for n in sizes])
+    return df.select(*kept, "pos", F.explode(each).alias("s")).filter("s is not null").select(*kept, "s.size", "pos", "s.hash")
 
 
 def windows(items: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
@@ -74,22 +86,22 @@ def hits(
     """``key`` (see ``row_key``), ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted ids as strings) of each row."""
     docs = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     known = windows(items, item_id, item_text, window)
+    lengths = [r.length for r in known.select("length").distinct().collect()]  # ``window`` values at most
+    sizes = sorted({min(n, shingle) for n in lengths}) or [shingle]
     size = F.least("length", F.lit(shingle))
-    parts = known.select("window", "length", size.alias("size"), F.explode(_shingles(F.col("words"), size)).alias("s"))
-    parts = written(parts.select("window", "length", "size", "s.hash", F.col("s.pos").alias("offset")), "shingles")
-    sizes = sorted(r.size for r in parts.select("size").distinct().collect())  # ``shingle`` values at most
-
-    wanted = parts.select("hash").distinct()
-    each = F.flatten(F.array(*[_shingles(F.col("w"), n) for n in sizes])) if sizes else F.expr("cast(array() as array<struct<hash:bigint,pos:int>>)")
-    found = docs.select("key", words(F.col("text")).alias("w")).select("key", F.size("w").alias("n_words"), F.explode(each).alias("s"))
-    found = found.select("key", "n_words", "s.hash", "s.pos").join(wanted, "hash", "left_semi")
-    found = written(found, "shared-shingles")
-
-    rarity = found.groupBy("hash").agg(F.count("*").alias("df"))
-    # a window with a shingle that no document has can't occur
-    prefix = parts.join(rarity, "hash", "left").withColumn("rarest", F.min(F.coalesce("df", F.lit(0))).over(W.partitionBy("window")))
-    prefix = prefix.withColumn("nth", F.row_number().over(W.partitionBy("window").orderBy("df", "offset")))
-    prefix = written(prefix.filter("nth = 1 and rarest > 0").select("hash", "window", "length", "offset"), "prefixes")
+    parts = shingled(known.select("window", "length", size.alias("own"), F.size("items").alias("n"), F.col("words").alias("w")), sizes).filter("size = own")
+    # rarest first: by the most items that one of its windows has, then by hash
+    spread = parts.groupBy("hash").agg(F.max("n").alias("spread"))
+    first = F.row_number().over(W.partitionBy("window").orderBy("spread", "hash", "pos"))
+    prefix = parts.join(spread, "hash").withColumn("nth", first).filter("nth = 1")
+    prefix = written(prefix.select("hash", "window", "length", F.col("pos").alias("offset")), "prefixes")
+
+    wanted = prefix.select("hash").distinct()
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    each = docs.select("key", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
+    found = shingled(each, sizes).join(wanted, "hash", "left_semi")
+    found = written(found.select("key", "n_words", "hash", "pos"), "shared-shingles")
 
     maybe = found.join(prefix, "hash").withColumn("start", F.col("pos") - F.col("offset"))
     maybe = maybe.filter("start >= 0 and start + length <= n_words")
@@ -102,14 +114,15 @@ def hits(
     read = written(read.select("key", F.size("w").alias("n_words"), places.alias("places")), "places")
 
     placed = read.filter("places is not null").select("key", F.explode("places").alias("p")).distinct()
-    true = placed.select("key", "p.*").join(known, "window").filter(F.col("here") == F.col("words"))
-    true = written(true.select("key", "start", "length", "items"), "occurrences")
+    true = placed.select("key", "p.*").join(known.select("window", "words", "length"), "window").filter(F.col("here") == F.col("words"))
+    true = written(true.select("key", "start", "length", "window"), "occurrences")
 
     before = F.max(F.col("start") + F.col("length")).over(W.partitionBy("key").orderBy("start", "length").rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest("start", F.coalesce(before, F.lit(0))))
     spans = true.select("key", "start", "length").distinct().withColumn("fresh", fresh)
     covered = spans.groupBy("key").agg(F.sum("fresh").alias("n_hit"))
-    ids = true.select("key", F.explode("items").alias("item")).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = true.select("key", "window").distinct().join(known.select("window", "items"), "window")
+    ids = named.select("key", F.explode("items").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = read.join(covered.join(ids, "key"), "key", "left")
     none = F.array().cast("array<string>")
     return out.select(
@@ -134,8 +147,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without contaminated rows."""
-    bad = hits(docs, items, id_col, text_col).filter(contaminated()).select(F.col("key").alias("__key")).distinct()
-    return docs.join(bad, row_key(id_col, text_col) == F.col("__key"), "left_anti")
+    return without_rows(docs, hits(docs, items, id_col, text_col).filter(contaminated()).select("key"), id_col, text_col)
 
 
 SQL = r"""

@@ -26,13 +26,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.batches import row_key
+from tessella.llm.batches import row_key, without_rows
 from tessella.session import written
 from tessella.sources import table
 
-SPACE = " \t\n\x0b\f\r"
 BLANK = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 #: Frequent function words of English, French, German and Spanish.
@@ -50,7 +48,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def repeated(words: Column) -> Column:
-    """Words that lie in windows found twice or more in their text."""
+    """Words that lie in windows found twice or more in their text; ``words`` are their hashes."""
 
     def covered(positions: Column) -> Column:
         step = F.transform(positions, lambda p, i: F.least(F.coalesce(F.get(positions, i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW)))
@@ -68,34 +66,37 @@ def repeated(words: Column) -> Column:
         heavy = let(F.sort_array(pairs), again)
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), heavy).otherwise(F.lit(0).cast("long"))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    hashes = F.transform(F.arrays_zip(*window_columns(words, WINDOW)), lambda w: F.xxhash64(w))
     return F.when(F.size(words) > WINDOW, let(hashes, of)).otherwise(F.lit(0).cast("long"))
 
 
-def _less(text: str, dropped: str) -> Column:
-    return F.length(F.translate(F.col(text), dropped, "")).cast("long")
+def window_columns(of: Column, n: int) -> list[Column]:
+    """For each window of ``n`` elements its first one, its second one, and so on: arrays of the same length, made without a lambda."""
+    size = F.greatest(F.size(of) - (n - 1), F.lit(0))
+    return [F.slice(of, i + 1, size) for i in range(n)]
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and the counts that the rules read; no shuffle."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    trimmed = F.btrim("text", F.lit(SPACE))
-    df = df.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK)))
+    df = df.withColumn("words", F.array_remove(F.split("text", BLANK), ""))
+    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumn("lines", lines)
     size = lambda x: F.size(x).cast("long")
     count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    left = lambda p: F.length(F.regexp_replace("text", p, "")).cast("long")  # noqa: E731  counts by what remains: cheaper than an array of matches
     stops = F.array(*map(F.lit, STOP_WORDS))
     return df.select(
         "doc_id",
         size("words").alias("n_words"),
-        _less("text", SPACE).alias("word_chars"),
-        (F.length("text") - _less("text", SYMBOLS)).alias("n_symbols"),
-        let(lines, lambda x: size(x)).alias("n_lines"),
-        let(lines, lambda x: size(x) - size(F.array_distinct(x))).alias("n_dup_lines"),
-        repeated(F.col("words")).alias("n_repeat_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        count(r"[#*$%&|<>]").alias("n_symbols"),
+        size("lines").alias("n_lines"),
+        (size("lines") - size(F.array_distinct("lines"))).alias("n_dup_lines"),
+        repeated(F.col("hashes")).alias("n_repeat_words"),
         size(F.array_intersect(F.col("words"), stops)).alias("n_stops"),
-        count(r"\p{Lu}").alias("n_upper"),
-        count(r"[\p{L}\p{N}]").alias("n_letters"),
+        left(r"[^\p{L}\p{N}]+").alias("n_letters"),
         count(r"\p{L}\p{Lu}").alias("n_shouted"),
         count(r"[!?]{2}").alias("n_bangs"),
         count(r"[.!?…]['\"»”)]?[\x20\x09-\x0D]*(?:\n|$)").alias("n_ended"),
@@ -198,9 +199,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    found = judge(docs.select(row_key(id_col, text_col).alias("__key"), text_col), "__key", text_col)
-    rejected = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__key")).distinct()
-    return docs.join(rejected, row_key(id_col, text_col) == F.col("__key"), "left_anti")
+    found = judge(docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")), "key", "text")
+    return without_rows(docs, found.filter(~F.col("kept")).select("doc_id"), id_col, text_col)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.batches import documents, map_batches
+from tessella.llm.batches import documents, map_batches, row_key, without_rows
 from tessella.operators.graph import connected_components
 from tessella.session import written
 from tessella.sources import table
@@ -192,13 +192,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those whose near-duplicate class has a document of smaller key.
+    """``docs`` with one row of each near-duplicate class: that of the least key, then of the least hash of its text.
 
-    Rows that repeat a key are kept or dropped together; rows with a null key are kept.
+    Rows with a null key are kept. Rows that repeat a key are told apart by their texts; of equal rows all stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(copies, docs[id_col] == copies["__copy"], "left_anti")
+    keyed = docs.filter(F.col(id_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(keyed, "key", "text")
+    return without_rows(docs, found.filter("doc_id <> component_id").select("doc_id"), id_col, text_col)
 
 
 QUERIES = {"op10_simhash": op10_simhash}
