@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 
@@ -24,12 +26,14 @@ def session(app: str = "tessella", **conf: str) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is set in its place.
+    Only where that is unset and the master is local (tests on one machine) a temporary folder is set in its place.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     folder = folder or context.getCheckpointDir()
     if not folder:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -59,7 +63,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` computed once as Parquet in the shared folder and read again: smaller than a checkpoint."""
-    path = scratch(df.sparkSession, label)
+    """``df`` computed once as Parquet in the shared folder and read again: smaller than a checkpoint.
+
+    Shuffle files go when the driver's objects for them do, so those are collected here: the steps after need the disk.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
