@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import design, prep, scores, summaries, tables, text
+from tessella.plans import design, prep, scores, studies, summaries, tables, text
 
-MODULES = (text, prep, scores, tables, design, summaries)
+MODULES = (text, prep, scores, tables, design, summaries, studies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
