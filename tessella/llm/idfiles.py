@@ -19,7 +19,8 @@ Scale: documents are dealt by ranges of their key and written as they come; the
 places where documents start are sums over frames within a part and over parts.
 
 Defined cases: a null or empty text is its end id alone; null keys come first;
-repeated keys are all written, in the order of their texts; a text of any length is
+keys of any type that sorts keep their type and order; repeated keys are all written, in the order of their texts; a vocabulary
+with ids of 65,536 or more is refused; a text of any length is
 one document of a frame; an empty table has no frames. A damaged frame raises.
 """
 
@@ -35,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm import bpe
 from tessella.llm.batches import documents, slices
@@ -288,11 +290,12 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
     spark = docs.sparkSession
     held = bpe.Tokenizer(spark, tokenizer or bpe.default_path())
     value, digest = held.held, held.digest
+    largest = max([*value.value["ids"].values(), *value.value["special"].values()])
+    if largest >= 1 << 16:
+        raise ValueError(f"ids up to {largest}: this format holds ids below 65,536")
     docs = documents(docs, id_col, text_col)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    if arrow == pa.string():
-        docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    kind = docs.schema["doc_id"].dataType
+    arrow = to_arrow_type(kind)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = docs.repartitionByRange(max(1, -(-size // PART)), "doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -339,8 +342,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
         if frames:
             yield from flush()
 
-    key = "string" if arrow == pa.string() else kind
-    dealt.mapInArrow(run, f"part int, seq long, n_ids long, keys array<{key}>, data binary").write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(run, f"part int, seq long, n_ids long, keys array<{kind.simpleString()}>, data binary").write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

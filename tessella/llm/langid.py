@@ -7,8 +7,10 @@ places and a softmax over the languages. A text's probabilities are the mean ove
 all of its windows, weighted by their letters. Training and inference are numpy;
 a maximum passes its gradient to one place only, which makes training cheap.
 
-The fit reads ``per_language`` texts of each of the ``languages`` most frequent
-languages at most, the least by hash of their key, and ``head`` characters of each.
+The fit reads ``per_language`` texts of each language at most, and of all languages
+``TEXTS`` at most, but one of each at least: those of least hash of their key, and of
+each ``HEAD`` characters from a place that the hash picks. Rows beyond a hash that the
+language's count sets go before any are ranked, so no task holds a language.
 Inference reads every byte of every text in batches of fixed size, without a shuffle.
 
 Defined cases: null texts, and texts without a letter, are ``und`` with score 0;
@@ -38,7 +40,9 @@ EPOCHS = 5
 BATCH = 64
 RATE = 0.01
 #: Bounds of the sample that the fit reads.
-PER_LANGUAGE, LANGUAGES, HEAD = 800, 200, 1024
+PER_LANGUAGE, TEXTS, HEAD = 800, 160_000, 1024
+#: Times the rows wanted that are ranked.
+SPARE = 2
 #: Windows that pass the network at a time.
 AT_ONCE = 64
 
@@ -175,16 +179,19 @@ def remainder(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, languages: int) -> list[tuple[str, str]]:
-    """(language, first characters) of the rows that the fit reads."""
-    cut = F.substring(F.col(text_col).cast("string"), 1, HEAD)
-    df = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), cut.alias("text"))
-    df = df.filter("lang is not null and text is not null and text <> ''")
-    keys = df.select("id", "lang", F.xxhash64("id").alias("h"))
-    common = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    by = W.partitionBy("lang").orderBy("h", "id")
-    keys = keys.join(common, "lang", "left_semi").withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= per_language)
-    rows = df.join(keys.select("id", "lang").distinct(), ["id", "lang"], "left_semi").orderBy("lang", "id", "text").limit(per_language * languages)
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, texts: int = TEXTS) -> list[tuple[str, str]]:
+    """(language, characters) of the rows that the fit reads."""
+    text = F.col(text_col).cast("string")
+    df = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), text.alias("text"))
+    df = df.filter("lang is not null and text is not null and text <> ''").withColumn("h", F.xxhash64("id", "text"))
+    counts = df.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("wanted", F.least(F.lit(per_language), F.greatest(F.lit(1), F.floor(F.lit(texts) / F.count("*").over(W.partitionBy())))))
+    counts = counts.withColumn("share", F.least(F.lit(1.0), (SPARE * F.col("wanted") + 50) / F.col("n")))  # 50: enough of a rare language
+    near = df.join(counts, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    start = F.pmod("h", F.greatest(F.length("text") - HEAD + 1, F.lit(1))).cast("int") + 1
+    near = near.select("lang", "id", "h", "wanted", F.substring("text", start, F.lit(HEAD)).alias("text"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h", "id", "text"))
+    rows = near.withColumn("nth", nth).filter("nth <= wanted").orderBy("lang", "h", "id", "text").limit(max(texts, per_language))
     return [(r.lang, r.text) for r in rows.collect()]
 
 
@@ -235,7 +242,7 @@ def judged(model: Network, cuts: list[np.ndarray | None]):
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = docs.filter(remainder(F.col("doc_id")) != 2)
-    network = train(sample(known, "doc_id", "text", "lang", PER_LANGUAGE, LANGUAGES))
+    network = train(sample(known, "doc_id", "text", "lang"))
     found = predict(docs, network)
     return found.select("doc_id", (remainder(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 

@@ -34,7 +34,7 @@ RULES = (
     ("block", "net/fr/"),
 )
 
-#: Small labelled table, fixed values: unwanted URLs, then wanted ones.
+#: Small labelled table, fixed values: unwanted URLs (some with paths like any other's), then wanted ones.
 UNWANTED = """
 http://casino-bonus.example/free-spins/win
 https://www.best-casino.example/poker/jackpot
@@ -82,6 +82,24 @@ http://cheap-backlinks.example/seo/buy-links
 https://cheap-replica.example/buy/watches
 http://instant-payday.example/loans/cash
 https://free-betting.example/odds/bet
+https://www.casino-royal.example.org/en/88
+http://blog.spam-links.example.net/de/417
+https://m.spam-pages.example.org/fr/9031
+http://link-farm.example.net/es/44
+https://www.content-farm.example.org/en/203
+http://m.adult-club.example.net/de/881
+https://adult-pics.example.org/fr/301.html
+http://www.ads-server.example.net/es/7
+https://track-ads.example.org/en/999
+http://blog.tracker-ads.example.net/de/12/
+https://win-casino.example.net/fr/55
+http://m.x-cams.example.org/es/620.html
+https://www.poker-win.example.net/en/31/
+http://pills-shop.example.org/de/290
+https://m.free-spam.example.net/en/5
+http://spam-town.example.org/en/64/
+https://spam-site.example.net/de/91
+http://m.spam-host.example.org/es/18
 """.split()
 WANTED = """
 https://en.encyclopedia.example/article/history
@@ -106,12 +124,34 @@ https://m.reader.example/de/kapitel/4
 https://blog.painter.example/fr/atelier
 https://www.gazette.example/es/noticias
 http://science.example/en/825
-https://example.org/en/685
-https://reports.example.org/fr/512
-https://notes.example.net/en/960
-https://m.pages.example.net/de/25
-http://texts.example.org/es/77.html
-https://blog.letters.example.org/de/303/
+https://www.morning-paper.example.org/en/88
+http://blog.theatre-notes.example.net/de/417
+https://m.mountain-pages.example.org/fr/9031
+http://stone-bridge.example.net/es/44
+https://www.thimble-craft.example.org/en/203
+http://m.station-clock.example.net/de/881
+https://weather-pics.example.org/fr/301.html
+http://www.harbour-ferry.example.net/es/7
+https://then-and-now.example.org/en/999
+http://blog.thrush-songs.example.net/de/12/
+https://window-box.example.net/fr/55
+http://m.theory-club.example.org/es/620.html
+https://www.notation.example.net/en/31/
+http://blog.tilting-mill.example.org/de/290
+https://thistle-hill.example.net/en/5
+http://blog.attention.example.net/en/561
+https://www.thread-works.example.org/es/249.html
+https://m.reading-room.example.org/en/41
+http://www.field-notes.example.net/de/182/
+https://therapy-garden.example.net/en/770
+http://m.thorn-hill.example.org/fr/489
+https://blog.thatcher-school.example.net/es/978
+http://www.shore-walks.example.org/en/654
+https://reading-room.example/en/essay/41
+https://field-notes.example/de/notiz/18
+https://archive.choir.example/fr/partition
+https://garden-club.example/es/guia/riego
+http://village-paper.example/2019/council
 https://www.library.example/history/books
 https://encyclopedia.example/wiki/physics
 http://news.example/2021/world/weather
@@ -122,8 +162,6 @@ http://www.university.example/courses/research
 https://forum.gardener.example/thread/roses
 http://cooking.example/recipes/bread.html
 https://m.stories.example/en/12
-https://stories.example.org/de/512
-http://pages.example.net/en/77.html
 https://museum.art.example/collection/archive
 http://school.example/guide/mathematics
 https://council.example/services/health

@@ -72,3 +72,19 @@ def test_query(spark):
         assert (found[r.doc_id].start, found[r.doc_id].n_tokens) == (start, len(ids))
         assert found[r.doc_id].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
+
+
+def test_keys_keep_their_type_and_order(spark, tmp_path):
+    for kind, keys in (("smallint", [10, 2, 1]), ("string", ["b", "a", "10"]), ("decimal(10,0)", [__import__("decimal").Decimal(x) for x in (10, 9, -3)])):
+        docs = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(keys)], f"doc_id {kind}, text string")
+        path = str(tmp_path / kind[:3])
+        idfiles.write(docs, path)
+        got = idfiles.read(spark, path)
+        assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        assert [r.doc_id for r in got.orderBy("start").collect()] == sorted(keys)
+
+
+def test_large_ids_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idfiles.bpe, "vocabulary", lambda path, make=idfiles.bpe.vocabulary: make(path) | {"special": {"<x>": 70000}})
+    with __import__("pytest").raises(ValueError, match="70000"):
+        idfiles.write(spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(tmp_path / "x"))

@@ -64,3 +64,16 @@ def test_held_out_accuracy(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r.lang == r.lang_pred for r in rows if r.held_out]
     assert sum(held) / len(held) > 0.97
+
+
+def test_sample_has_every_language_and_its_bounds(spark):
+    rows = [(i, "abc " * 600, "en") for i in range(3000)] + [(5000 + i, f"text {i}", f"l{i % 30:02d}") for i in range(90)] + [(None, "x y", "nul"), (9, "abc", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.sample(docs, "doc_id", "text", "lang", 40)
+    counts = {}
+    for lang, text in found:
+        counts[lang] = counts.get(lang, 0) + 1
+        assert len(text) <= langid.HEAD
+    assert set(counts) == {"en", "nul", *(f"l{i:02d}" for i in range(30))} and counts["en"] == 40 and counts["l07"] == 3
+    assert len(langid.sample(docs, "doc_id", "text", "lang", 40, 64)) == 63
+    assert found == langid.sample(docs.repartition(7), "doc_id", "text", "lang", 40)

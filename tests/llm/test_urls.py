@@ -54,3 +54,12 @@ def test_left_out_urls():
                 total += 1
                 right += (urls.probability(sorted(urls.grams(*urls.split(u))), bias, weights) > 0.5) == y
     assert right / total > 0.8
+
+
+def test_left_out_verdicts_on_ordinary_paths():
+    """URLs that no labelled one repeats, both verdicts: the host decides, not the path."""
+    bias, weights = urls.train(urls.UNWANTED, urls.WANTED)
+    unwanted = lambda u: urls.probability(sorted(urls.grams(*urls.split(u))), bias, weights) > 0.5
+    bad = ["http://m.spam-city.example.org/en/64", "https://www.best-casino-win.example.net/de/3", "http://adult-zone.example.org/es/19", "https://ads-click.example.net/fr/820"]
+    good = ["http://m.river-walks.example.org/en/64", "https://www.school-library.example.net/de/3", "http://bread-baking.example.org/es/19", "https://castle-history.example.net/fr/820"]
+    assert [unwanted(u) for u in bad + good] == [True] * 4 + [False] * 4
