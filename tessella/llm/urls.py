@@ -97,9 +97,12 @@ http://m.x-cams.example.org/es/620.html
 https://www.poker-win.example.net/en/31/
 http://pills-shop.example.org/de/290
 https://m.free-spam.example.net/en/5
-http://spam-town.example.org/en/64/
-https://spam-site.example.net/de/91
-http://m.spam-host.example.org/es/18
+http://spam-town.example/de/8
+https://spam-site.example/page/91
+http://spam-host.example/story/18
+https://spam-network.example/read/4
+http://m.spam.example/chapter/64
+https://spam.example/article/9
 """.split()
 WANTED = """
 https://en.encyclopedia.example/article/history

