@@ -32,7 +32,7 @@ from tessella.llm.batches import broadcast, documents, map_batches
 from tessella.sources import table
 
 #: Encoded chunks that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 50_000
+REMEMBERED = 120_000
 #: Chunks longer than this are not remembered.
 LONGEST_REMEMBERED = 64
 
