@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,33 +135,44 @@ def rendered(found: Column, profile: str) -> Column:
     return F.array_join(F.transform(keep, lambda b: b["content"]), "\n\n")
 
 
-def mtld(words: Column, threshold: float = 0.72) -> Column:
-    """Lexical diversity: mean length of runs that stay above ``threshold``, forwards and backwards; null without words."""
-
-    def one_way(w: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("factors"), F.array().cast("array<string>").alias("types"), F.lit(0).alias("n"))
-
-        def add(s: Column, x: Column) -> Column:
-            types = F.when(F.array_contains(s["types"], x), s["types"]).otherwise(F.concat(s["types"], F.array(x)))
+def _one_way(before: list[int], threshold: float) -> float | None:
+    """Mean length of runs of words; ``before``: for each word the place of the last one like it, -1 if there is none."""
+    factors, start, types = 0.0, 0, 0
+    for i, last in enumerate(before, 1):
+        if last < start:
+            types += 1
+        if types / (i - start) <= threshold:
+            factors, start, types = factors + 1, i, 0
+    left = len(before) - start
+    factors += (1 - types / left) / (1 - threshold) if left else 0.0
+    return len(before) / factors if factors > 0 else None
+
+
+def diversities(texts: pa.Array, threshold: float) -> pa.Array:
+    """``mtld`` of lists of words. A word is new to a run if the last one like it is before the run: no run's words are looked through."""
+    size = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    words = pc.fill_null(pc.dictionary_encode(texts.flatten()).indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    key = np.repeat(np.arange(len(size)), size) * (int(words.max(initial=0)) + 1) + words
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    before, after = np.full(len(key), -1), np.full(len(key), len(key))
+    before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+    out = []
+    for end, n in zip(ends.tolist(), size.tolist(), strict=True):
+        both = [_one_way(way.tolist(), threshold) for way in (before[end - n : end] - (end - n), end - 1 - after[end - n : end][::-1])]
+        out.append(None if None in both else sum(both) / 2)
+    return pa.array(out, pa.float64())
 
-            def closed(t: Column) -> Column:
-                full = F.size(t) / (s["n"] + 1) <= threshold
-                return F.struct(
-                    F.when(full, s["factors"] + 1).otherwise(s["factors"]).alias("factors"),
-                    F.when(full, F.array().cast("array<string>")).otherwise(t).alias("types"),
-                    F.when(full, 0).otherwise(s["n"] + 1).alias("n"),
-                )
 
-            return let(types, closed)
-
-        def end(s: Column) -> Column:
-            rest = F.when(s["n"] > 0, (1 - F.size(s["types"]) / s["n"]) / (1 - threshold)).otherwise(0.0)
-            factors = s["factors"] + rest
-            return F.when(factors > 0, F.size(w) / factors)
+def mtld(words: Column, threshold: float = 0.72) -> Column:
+    """Lexical diversity: mean length of runs that stay above ``threshold``, forwards and backwards; null without words."""
 
-        return F.aggregate(w, start, add, end)
+    @F.arrow_udf("double")
+    def found(texts: pa.Array) -> pa.Array:
+        return diversities(texts, threshold)
 
-    return let(words, lambda w: F.when(F.size(w) > 0, (one_way(w) + one_way(F.reverse(w))) / 2))
+    return found(words)
 
 
 def _line(a: int, b: int, prime: int):
