@@ -2,46 +2,154 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.text import normalised, shingles, words
+from tessella.functions.text import normalised
+from tessella.session import written
+
+#: Rows whose words are held at a time, and shingles of which repeats are counted at a time.
+ROWS, COUNTED = 1_000, 4_000_000
+#: Shingles whose counts order prefixes. Any order gives the same pairs: a count that is not known costs time only.
+KNOWN = 1_000_000
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the runs of ``n`` word hashes, or of the one shorter run."""
+    k = min(n, len(words))
+    with np.errstate(over="ignore"):
+        mixed = np.full(len(words) - k + 1 if k else 0, k, np.uint64)
+        for j in range(k):
+            mixed = (mixed ^ words[j : len(words) - k + 1 + j]) * MULTIPLIER
+            mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        return mixed ^ mixed >> np.uint64(32)
+
+
+def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of normalised texts, whose words are parted by single spaces."""
+    lists = pc.split_pattern(pc.fill_null(texts.cast(pa.string()), ""), " ")
+    coded = pc.dictionary_encode(lists.flatten())
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    words = hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(hashes) else hashes
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    empty = pc.equal(pc.fill_null(texts, ""), "").to_numpy(zero_copy_only=False)
+    nothing = np.zeros(0, np.uint64)
+    found = []
+    for a, b, none in zip([0, *ends[:-1].tolist()], ends.tolist(), empty.tolist(), strict=False):
+        found.append(np.unique(_runs(nothing if none else words[a:b], n).view(np.int64)))
+    return found
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
-    """``id``, ``hash``: the distinct shingles of the normalised text."""
-    hashed = F.array_distinct(F.transform(shingles(words(normalised(F.col(text_col))), n), lambda s: F.xxhash64(s)))
-    return docs.select(F.col(id_col).alias("id"), hashed.alias("set"))
+    """``id``, ``digest`` of the set and ``set``: the hashes of the distinct shingles of the normalised text, sorted."""
+    texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                sets = _sets(part.column(1), n)
+                digests = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests), _lists(sets)], ["id", "digest", "set"])
+
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, digest long, set array<long>")
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that some ``COUNTED`` successive ones repeat, with how often."""
+    waiting, held = [], 0
+
+    def counted() -> pa.RecordBatch:
+        hashes, n = np.unique(np.concatenate(waiting), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["hash", "n"])
+
+    for batch in batches:
+        waiting.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+        held += len(waiting[-1])
+        if held >= COUNTED:
+            yield counted()
+            waiting, held = [], 0
+    if held:
+        yield counted()
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """``digest``, ``size`` and ``hash`` of the shingles on which a set meets every set as similar as ``threshold``, once for each set.
+
+    Of a set of s shingles these are the first ``s - ceil(threshold * s) + 1`` in an order that all
+    sets share: by a count, then by hash. The counts of frequent shingles put them last; they are
+    gathered where a part of a table repeats a shingle, and decide on time alone.
+    """
+    spark = sets.sparkSession
+    counts = sets.select("set").mapInArrow(_repeats, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    known = counts.orderBy(F.desc("n"), "hash").limit(KNOWN).toArrow()
+    hashes, n = (known[c].to_numpy().astype(np.int64) for c in ("hash", "n"))
+    order = np.argsort(hashes)
+    held = spark.sparkContext.broadcast((hashes[order], n[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, n = held.value
+        for batch in batches:
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            starts = np.cumsum(size) - size
+            if len(hashes):
+                place = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
+                count = np.where(hashes[place] == flat, n[place], 0)
+                some = np.flatnonzero(np.isin(row, row[count > 0]))  # other rows are in order
+                flat = flat.copy()
+                flat[some] = flat[some][np.lexsort((flat[some], count[some], row[some]))]
+            taken = np.array([s - math.ceil(threshold * s - 1e-9) + 1 if s else 0 for s in size.tolist()], np.int64)
+            kept = np.arange(len(flat)) - starts[row] < taken[row]
+            row = row[kept]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(flat[kept])]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "size", "hash"])
+
+    return sets.select("digest", "set").mapInArrow(run, "digest long, size int, hash long").distinct()
 
 
 def jaccard_join(docs: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """``left_id`` < ``right_id`` and ``jaccard`` of all pairs of different sets at or above ``threshold``; equal sets are linked to their least id.
 
-    Equal sets are one class, so groups of copies make no pairs among themselves. Classes meet on
-    prefix shingles, the rarest ones: of a set of s shingles, ``s - ceil(threshold * s) + 1``
-    suffice to find every partner.
+    Equal sets are one class, known by a 64-bit digest, so groups of copies make no pairs among
+    themselves. Classes meet on prefix shingles (``prefixes``), and only the sets of those that meet
+    are shipped, to be compared whole. The sets are made once, and written.
     """
-    sets = shingle_sets(docs, id_col, text_col, n).filter("size(`set`) > 0").withColumn("set", F.sort_array("set"))
-    classes = sets.groupBy("set").agg(F.min("id").alias("id"))
-    each = classes.select("id", F.size("set").alias("size"), F.explode("set").alias("hash"))
-    df = each.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
-    nth = F.row_number().over(W.partitionBy("id").orderBy("df", "hash"))
-    # shingles of one class only find no partner, but are the rarest: they take places of the prefix
-    alone = F.col("size") - F.count("*").over(W.partitionBy("id"))
-    length = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
-    prefix = each.join(df, "hash").withColumn("nth", nth + alone).filter(F.col("nth") <= length)
-    left = prefix.select("hash", F.col("id").alias("left_id"), F.col("size").alias("left_size"))
-    right = prefix.select("hash", F.col("id").alias("right_id"), F.col("size").alias("right_size"))
-    near = F.least("left_size", "right_size") >= F.lit(threshold) * F.greatest("left_size", "right_size") - 1e-9
-    maybe = left.join(right, "hash").filter("left_id < right_id").filter(near).select("left_id", "right_id").distinct()
-    a = classes.select(F.col("id").alias("left_id"), F.col("set").alias("a"))
-    b = classes.select(F.col("id").alias("right_id"), F.col("set").alias("b"))
-    both = maybe.join(a, "left_id").join(b, "right_id")
-    share = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
-    pairs = both.select("left_id", "right_id", share.alias("jaccard")).filter(F.col("jaccard") >= threshold)
-    copies = sets.join(classes.withColumnRenamed("id", "least"), "set").filter("id <> least")
-    return pairs.unionByName(copies.select(F.col("least").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard")))
+    sets = written(shingle_sets(docs, id_col, text_col, n).filter("size(`set`) > 0"), "similarity-sets")
+    classes = sets.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    prefix = written(prefixes(sets, threshold), "similarity-prefixes")
+    shared = prefix.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    prefix = prefix.join(shared, "hash", "left_semi")
+    left, right = (prefix.select("hash", F.col("digest").alias(side), F.col("size").alias(f"{side}_size")) for side in ("a", "b"))
+    near = F.least("a_size", "b_size") >= F.lit(threshold) * F.greatest("a_size", "b_size") - 1e-9
+    maybe = written(left.join(right, "hash").filter("a < b").filter(near).select("a", "b").distinct(), "similarity-pairs")
+    met = maybe.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    each = sets.join(met, "digest", "left_semi").join(classes.select("digest", F.col("least").alias("id")), ["digest", "id"]).dropDuplicates(["digest"])
+    a, b = (each.select(F.col("digest").alias(side), F.col("id").alias(f"{side}_id"), F.col("set").alias(f"{side}_set")) for side in ("a", "b"))
+    both = maybe.join(a, "a").join(b, "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    share = common / (F.size("a_set") + F.size("b_set") - common)
+    pairs = both.select(F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), share.alias("jaccard"))
+    repeated = classes.filter("n > 1").select("digest", "least")
+    copies = sets.select("id", "digest").join(repeated, "digest").filter("id <> least")
+    return pairs.filter(F.col("jaccard") >= threshold).unionByName(
+        copies.select(F.col("least").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard"))
+    )
 
 
 def exact_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
