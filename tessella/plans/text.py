@@ -11,7 +11,7 @@ from tessella.functions import text as T
 from tessella.operators.graph import connected_components
 from tessella.operators.ranks import strict_percentile, tercile_score
 from tessella.operators.repeats import boilerplate, repeat_scan, strip_boilerplate
-from tessella.operators.similarity import exact_groups, jaccard_join
+from tessella.operators.similarity import jaccard_join
 from tessella.sources import table
 
 
@@ -187,9 +187,7 @@ SELECT id, doc_id, 1.0 FROM s JOIN c USING (s) WHERE doc_id <> id
 
 
 def q_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    same = exact_groups(docs, "doc_id", "text").select(F.col("id").alias("left_id"), F.col("group_id").alias("right_id"))
-    edges = jaccard_join(docs, "doc_id", "text").select("left_id", "right_id").unionByName(same)
+    edges = jaccard_join(documents(spark, sf_dir), "doc_id", "text").select("left_id", "right_id")  # equal texts have equal sets
     return connected_components(edges, "left_id", "right_id").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_id"))
 
 
