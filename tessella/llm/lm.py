@@ -66,6 +66,18 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
 
 
+def small(x: np.ndarray) -> bytes:
+    """Counts by byte plane, in as many bytes as the largest needs, after that number."""
+    most = int(x.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def grown(data: bytes) -> np.ndarray:
+    width = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
 class Grams:
     """Distinct n-grams of a block of texts.
 
@@ -112,10 +124,10 @@ class Grams:
         return out
 
     def dealt(self, k: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams' order by shard, then hash; where each shard's begin."""
-        shard = (self.hashes[k] >> np.uint64(20)) % np.uint64(shards)
-        order = np.lexsort((self.hashes[k], shard))
-        return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+        """The n-grams' order by hash; where each shard's begin. Shards are ranges of hashes, so that those of a shard are near each other."""
+        order = np.argsort(self.hashes[k], kind="stable")
+        shard = (self.hashes[k][order] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        return order, np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
 
 
 class Automaton:
@@ -199,7 +211,7 @@ def requests(block: pa.Table, order: int, shards: int) -> pa.Table:
         by, ends = grams.dealt(k, shards)
         hashes, n = grams.hashes[k][by], counts[k][by].astype(np.int64)
         columns[f"h{k}"] = [packed(hashes[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        columns[f"c{k}"] = [n[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        columns[f"c{k}"] = [small(n[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     return pa.table(columns, schema=request_schema(order))
 
 
@@ -214,13 +226,13 @@ def answers(shard: pa.Table, order: int) -> pa.Table:
     tokens = distinct = 0
     for k in range(1, order + 1):
         asked = [unpacked(x) for x in shard.column(f"h{k}").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in shard.column(f"c{k}").to_pylist()])
+        n = np.concatenate([grown(x) for x in shard.column(f"c{k}").to_pylist()])
         known, place = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.zeros(len(known), np.int64)
         np.add.at(total, place, n)
         ends = np.cumsum([0, *map(len, asked)])
         total_at = total[place]
-        columns[f"c{k}"] = [total_at[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        columns[f"c{k}"] = [small(total_at[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         if k == 1:
             tokens, distinct = int(total.sum()), int((total > 0).sum())
     rows = len(columns["block"])
@@ -240,7 +252,7 @@ def scores(block: pa.Table, answered: pa.Table, order: int, shards: int, total:
         by, _ = grams.dealt(k, shards)
         got = answered.column(f"c{k}")
         counts[k] = np.empty(len(by), np.int64)
-        counts[k][by] = np.concatenate([np.frombuffer(got[rows[s]].as_py(), np.int64) for s in range(shards)])
+        counts[k][by] = np.concatenate([grown(got[rows[s]].as_py()) for s in range(shards)])
     known = (counts[1] > 0)[grams.words]
     base = np.log10((counts[1] + ADD) / (total + ADD * (distinct + 1)))[grams.words]
     n = len(grams.lengths)

@@ -105,3 +105,19 @@ def test_empty(spark):
     one = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     r = lm.score(one, F.lit(True)).first()
     assert (r.train_tokens, r.n_known, r.n_tokens) == (0, 0, 3) and math.isclose(r.score, 0.0) and math.isclose(r.base_score, 0.0)
+
+
+def test_counts_and_hashes_travel_small():
+    """A small count takes one byte, and hashes of a shard differ by little, however many shards there are."""
+    for n in ([], [0, 1, 255], [3, 256], [70_000, 0], [1 << 40, 5]):
+        n = np.array(n, np.int64)
+        assert (lm.grown(lm.small(n)) == n).all() and lm.grown(lm.small(n)).dtype == np.int64
+    assert len(lm.small(np.ones(1000, np.int64))) == 1001
+    grams = lm.Grams([" ".join(f"w{i}" for i in range(50_000))], 2)
+    order, ends = grams.dealt(2, 100)
+    assert len(ends) == 101 and ends[0] == 0 and ends[-1] == len(order) and (np.diff(ends) > 300).all()
+    for a, b in zip(ends, ends[1:], strict=False):
+        hashes = grams.hashes[2][order[a:b]]
+        assert (lm.unpacked(lm.packed(hashes)) == hashes).all()
+        steps = np.diff(hashes)
+        assert int(np.median(steps)) < 1 << 50
