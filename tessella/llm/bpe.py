@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.batches import broadcast, documents, map_batches
 from tessella.sources import table
 
-#: Encoded chunks that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 120_000
+#: Encoded chunks that a worker remembers; beyond it the memory starts anew. The second is for a worker that does nothing else.
+REMEMBERED, REMEMBERED_ALONE = 120_000, 250_000
 #: Chunks longer than this are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -69,7 +69,8 @@ def vocabulary(path: str) -> dict:
 class Encoder:
     """Encodes texts; remembers the chunks between ASCII white space, which no pre-token spans."""
 
-    def __init__(self, vocab: dict):
+    def __init__(self, vocab: dict, remembered: int = REMEMBERED):
+        self.remembered = remembered
         ids, suffix = vocab["ids"], vocab["suffix"]
         self.pattern = regex.compile(vocab["pattern"])
         self.special = vocab["special"]
@@ -118,7 +119,7 @@ class Encoder:
         if found is None:
             found = self.merged(word.encode())
             if len(word) <= LONGEST_REMEMBERED:
-                if len(self.words) >= REMEMBERED:
+                if len(self.words) >= self.remembered:
                     self.words.clear()
                 self.words[word] = found
         return found
@@ -143,7 +144,7 @@ class Encoder:
             ids = self.plain(chunk)
         found = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(str, ids)), self.decode(ids)
         if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self.chunks) >= REMEMBERED:
+            if len(self.chunks) >= self.remembered:
                 self.chunks.clear()
             self.chunks[chunk] = found
         return found
@@ -174,7 +175,7 @@ class Encoder:
             ids = self.plain(chunk)
         found = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self.packed) >= REMEMBERED:
+            if len(self.packed) >= self.remembered:
                 self.packed.clear()
             self.packed[chunk] = found
         return found
@@ -204,14 +205,14 @@ class Tokenizer:
         self.path, self.held = path, broadcast(spark, vocabulary(path))
 
 
-_WORKER: dict[str, Encoder] = {}
+_WORKER: dict[tuple[str, int], Encoder] = {}
 
 
-def worker_encoder(digest: str, held) -> Encoder:
-    if digest not in _WORKER:
+def worker_encoder(digest: str, held, remembered: int = REMEMBERED) -> Encoder:
+    if (digest, remembered) not in _WORKER:
         _WORKER.clear()
-        _WORKER[digest] = Encoder(held.value)
-    return _WORKER[digest]
+        _WORKER[digest, remembered] = Encoder(held.value, remembered)
+    return _WORKER[digest, remembered]
 
 
 def default_path() -> str:
@@ -262,7 +263,9 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return map_batches(coded, make, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = REMEMBERED
+) -> DataFrame:
     """Encode and decode each text in one pass and return the digests of both.
 
     Columns: ``doc_id``, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by one
@@ -272,7 +275,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     held, digest = tokenizer.held, tokenizer.digest
 
     def make():
-        encoder = worker_encoder(digest, held)
+        encoder = worker_encoder(digest, held, remembered)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, ids_sha, text_sha, coded, ends = [], [], [], [], [0]
@@ -301,7 +304,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"))
+    return round_trip(table(spark, sf_dir, "documents"), remembered=REMEMBERED_ALONE)
 
 
 QUERIES = {"op5_bpe": op5_bpe}

@@ -63,3 +63,12 @@ def test_query_rows(spark, library):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.round_trip(docs, PATH).collect() == []
+
+
+def test_memory_of_any_size_gives_the_same_ids():
+    """What a worker remembers decides on time alone, and each worker has its own size."""
+    vocab = bpe.vocabulary(bpe.default_path())
+    text = "one two three two <x> one four five six seven two one"
+    encoders = [bpe.Encoder(vocab, n) for n in (1, 3, 1_000)]
+    assert len({e.encode(text) for e in encoders}) == 1
+    assert len(encoders[0].chunks) == 1 and len(encoders[2].chunks) > 3
