@@ -22,13 +22,15 @@ import heapq
 import json
 import struct
 import unicodedata
+from array import array
+from collections.abc import Sequence
 from functools import cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.batches import broadcast, documents, map_batches
+from tessella.llm.batches import broadcast, documents, map_batches, release
 from tessella.sources import table
 
 #: Encoded chunks that a worker remembers; beyond it the memory starts anew. The second is for a worker that does nothing else.
@@ -82,9 +84,10 @@ class Encoder:
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(vocab["merges"]):
             self.ranks.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
-        self.chunks: dict[str, tuple] = {}
-        self.words: dict[str, list[int]] = {}
-        self.packed: dict[str, bytes] = {}
+        self.decimals = {i: str(i) for i in self.strings}
+        self.special_ids = {x: struct.pack("<I", i) for x, i in self.special.items()}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -114,75 +117,51 @@ class Encoder:
                 heapq.heappush(queue, (found[0], h, found[1], symbols[h], new))
         return [s for s in symbols if s >= 0]
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = self.merged(word.encode())
+            ids = self.merged(word.encode())
+            found = struct.pack(f"<{len(ids)}I", *ids)
             if len(word) <= LONGEST_REMEMBERED:
                 if len(self.words) >= self.remembered:
                     self.words.clear()
                 self.words[word] = found
         return found
 
-    def plain(self, text: str) -> list[int]:
+    def plain(self, text: str) -> bytes:
         """Ids of a stretch without special tokens."""
         if not text.isascii():
             # each character on its own: a final sigma stays an ordinary one
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        word, out = self.word, []
-        for x in self.pattern.findall(text.lower()):
-            out += word(x)
-        return out
-
-    def chunk(self, chunk: str) -> tuple[bytes, str, str]:
-        """Ids as little-endian unsigned 32-bit integers, as decimals, and decoded."""
-        if self.cut is not None and "<" in chunk:
-            ids: list[int] = []
-            for x in self.cut.split(chunk):
-                ids += [self.special[x]] if x in self.special else self.plain(x)
+        return b"".join(map(self.word, self.pattern.findall(text.lower())))
+
+    def chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            found = self.word(chunk.lower())
+        elif self.cut is not None and "<" in chunk:
+            found = b"".join([self.special_ids[x] if x in self.special else self.plain(x) for x in self.cut.split(chunk)])
         else:
-            ids = self.plain(chunk)
-        found = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(str, ids)), self.decode(ids)
+            found = self.plain(chunk)
         if len(chunk) <= LONGEST_REMEMBERED:
             if len(self.chunks) >= self.remembered:
                 self.chunks.clear()
             self.chunks[chunk] = found
         return found
 
-    def parts(self, text: str | None) -> list[tuple[bytes, str, str]]:
-        known, chunk = self.chunks.get, self.chunk
-        return [known(x) or chunk(x) for x in ascii_split(text or "")]
-
     def encode(self, text: str | None) -> bytes:
-        return b"".join([p[0] for p in self.parts(text)])
-
-    def ids(self, text: str | None) -> bytes:
-        """As ``encode``, without the strings that digests are made of."""
-        out, known = [], self.packed
+        """Ids as little-endian unsigned 32-bit integers: all that is remembered of a chunk, since strings of ids take several times as much."""
+        out, known = [], self.chunks.get
         for x in ascii_split(text or ""):
-            found = known.get(x)
-            if found is None:
-                found = self._packed(x)
-            out.append(found)
+            found = known(x)
+            out.append(self.chunk(x) if found is None else found)
         return b"".join(out)
 
-    def _packed(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():
-            ids = self.word(chunk.lower())
-        elif self.cut is not None and "<" in chunk:
-            return self.chunk(chunk)[0]
-        else:
-            ids = self.plain(chunk)
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self.packed) >= self.remembered:
-                self.packed.clear()
-            self.packed[chunk] = found
-        return found
-
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The vocabulary strings of ``ids`` in one string; this file names no decoder, so one space joins them."""
-        return " ".join([self.strings[i] for i in ids])
+        return " ".join(map(self.strings.__getitem__, ids))
+
+    def decimal(self, ids: Sequence[int]) -> str:
+        return " ".join(map(self.decimals.__getitem__, ids))
 
 
 #: str.split() also splits at these, which are no white space of the pattern.
@@ -211,7 +190,10 @@ _WORKER: dict[tuple[str, int], Encoder] = {}
 def worker_encoder(digest: str, held, remembered: int = REMEMBERED) -> Encoder:
     if (digest, remembered) not in _WORKER:
         _WORKER.clear()
+        release()  # workers are used again: what stages before have left
         _WORKER[digest, remembered] = Encoder(held.value, remembered)
+        vars(held).pop("_value", None)  # read again if it is asked for again
+        release()
     return _WORKER[digest, remembered]
 
 
@@ -280,14 +262,14 @@ def round_trip(
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, ids_sha, text_sha, coded, ends = [], [], [], [], [0]
             for text in batch.column(1).to_pylist():
-                parts = [p for p in encoder.parts(text) if p[0]]
-                n = sum([len(p[0]) for p in parts]) // 4
-                counts.append(n)
-                ids_sha.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+                packed = encoder.encode(text)
+                ids = array("I", packed)
+                counts.append(len(ids))
+                ids_sha.append(hashlib.sha256(encoder.decimal(ids).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    coded.append(b"".join([p[0] for p in parts]))
-                    ends.append(ends[-1] + n)
+                    coded.append(packed)
+                    ends.append(ends[-1] + len(ids))
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

@@ -329,7 +329,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
         for batch in batches:
             for some in slices(batch):
                 for key, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    ids = encoder.ids(text) + end
+                    ids = encoder.encode(text) + end
                     keys.append(key)
                     texts.append(ids)
                     waiting += len(ids) // 4

@@ -72,3 +72,18 @@ def test_memory_of_any_size_gives_the_same_ids():
     encoders = [bpe.Encoder(vocab, n) for n in (1, 3, 1_000)]
     assert len({e.encode(text) for e in encoders}) == 1
     assert len(encoders[0].chunks) == 1 and len(encoders[2].chunks) > 3
+
+
+def test_a_worker_remembers_ids_only():
+    """Chunks are remembered as their ids: four bytes an id and no strings made of them, by which a worker of the pipeline took too much memory."""
+    encoder = bpe.Encoder(bpe.vocabulary(PATH))
+    encoder.encode("one Two three, <|endoftext|> four")
+    assert len(encoder.chunks) == 5 and all(type(ids) is bytes and len(ids) % 4 == 0 for c in (encoder.chunks, encoder.words) for ids in c.values())
+
+
+def test_encoder_releases_the_broadcast_value(spark):
+    held = bpe.Tokenizer(spark, PATH).held
+    held.__dict__.pop("_value", None)
+    bpe.worker_encoder("test", held)
+    assert "_value" not in vars(held) and held.value["merges"]
+    bpe._WORKER.clear()
