@@ -26,13 +26,16 @@ each counts in training; an empty table gives no rows. Words are equal if their
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tessella.llm.batches import slices
 from tessella.session import written
 from tessella.sources import table
 
@@ -41,6 +44,8 @@ ORDER = 2
 STRENGTH = 1000.0
 #: Bytes of text in a block, and what a shard's share is made of.
 BLOCK = 8_000_000
+#: Bytes of text that a task deals over the blocks at a time.
+AT_ONCE = 32_000_000
 ADD = 0.1
 #: The end of a text (no word is empty) and what stands before its first word.
 END, BEGIN = 0, 1
@@ -197,15 +202,56 @@ class Automaton:
         return out
 
 
+class Rows:
+    """How rows travel: those of a block that are dealt at a time are a compressed record batch."""
+
+    def __init__(self, kind: pa.DataType):
+        self.schema = pa.schema([("doc_id", kind), ("text", pa.string()), ("held_out", pa.bool_())])
+
+    def pack(self, rows: pa.Table) -> tuple[int, bytes]:
+        """The bytes and their number uncompressed."""
+        (batch,) = rows.cast(self.schema).combine_chunks().to_batches()
+        data = batch.serialize()
+        return data.size, pa.compress(data, codec="zstd", asbytes=True)
+
+    def unpack(self, block: pa.Table) -> pa.Table:
+        """All rows of the column ``rows``."""
+        found = zip(block.column("size").to_pylist(), block.column("rows").to_pylist(), strict=True)
+        batches = [pa.ipc.read_record_batch(pa.decompress(data, size, codec="zstd"), self.schema) for size, data in found]
+        return pa.Table.from_batches(batches, self.schema)
+
+    def dealt(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``block``, ``size`` and ``rows`` of batches of the key, the text, ``held_out`` and ``block``."""
+        waiting: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            for part in slices(batch):
+                waiting.append(part)
+                held += part.nbytes
+                if held >= AT_ONCE:
+                    yield self._blocks(waiting)
+                    waiting, held = [], 0
+        if waiting:
+            yield self._blocks(waiting)
+
+    def _blocks(self, waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(waiting)
+        block = rows.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        edges = np.flatnonzero(np.diff(block[order], prepend=-1))
+        found = [self.pack(rows.select(self.schema.names).take(some)) for some in np.split(order, edges[1:])]
+        columns = [pa.array(block[order[edges]]), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "size", "rows"])
+
+
 def remainder(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 10
 
 
-def requests(block: pa.Table, order: int, shards: int) -> pa.Table:
-    """For each shard: the block's n-grams that the shard adds up, with their training counts."""
+def requests(number: int, block: pa.Table, order: int, shards: int) -> pa.Table:
+    """For each shard: the n-grams of the block of that ``number`` that the shard adds up, with their training counts."""
     grams = Grams(block.column("text").to_pylist(), order)
     counts = grams.counts(~block.column("held_out").to_numpy())
-    number = block.column("block")[0].as_py()
     columns: dict[str, list] = {"shard": list(range(shards)), "block": [number] * shards}
     for k in range(1, order + 1):
         by, ends = grams.dealt(k, shards)
@@ -277,9 +323,12 @@ def score(
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), held)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = shards = max(1, math.ceil(size / block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    rows = Rows(to_arrow_type(docs.schema["doc_id"].dataType))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(rows.dealt, "block long, size long, rows binary")
     fields = ", ".join(f"h{k} binary, c{k} binary" for k in range(1, order + 1))
-    asked = dealt.groupBy("block").applyInArrow(lambda t: requests(t, order, shards), f"shard long, block long, {fields}")
+    asked = dealt.groupBy("block").applyInArrow(
+        lambda t: requests(t.column("block")[0].as_py(), rows.unpack(t), order, shards), f"shard long, block long, {fields}"
+    )
     fields = ", ".join(f"c{k} binary" for k in range(1, order + 1))
     replies = asked.groupBy("shard").applyInArrow(lambda t: answers(t, order), f"block long, shard long, {fields}, tokens long, distinct long")
     replies = written(replies, "lm-counts")
@@ -287,7 +336,7 @@ def score(
     replies = replies.drop("tokens", "distinct")
     kind = docs.schema["doc_id"].dataType.simpleString()
     both = dealt.groupBy("block").cogroup(replies.groupBy("block"))
-    return both.applyInArrow(lambda t, a: scores(t, a, order, shards, total, distinct, strength), OUT.format(id=kind))
+    return both.applyInArrow(lambda t, a: scores(rows.unpack(t), a, order, shards, total, distinct, strength), OUT.format(id=kind))
 
 
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,28 @@ def test_counts_and_hashes_travel_small():
         assert (lm.unpacked(lm.packed(hashes)) == hashes).all()
         steps = np.diff(hashes)
         assert int(np.median(steps)) < 1 << 50
+
+
+def test_rows_travel_small(spark):
+    """What a task has for a block is one piece, smaller than its texts; all rows come back, whatever their keys."""
+    import datetime
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [None, "", "x" * 5000] + [" ".join(rng.choices(["lorem", "ipsum", "dolor", "sit"], k=200)) for _ in range(300)]
+    keys = {pa.int64(): lambda i: None if i == 7 else i, pa.string(): str, pa.date32(): lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i)}
+    for kind, key in keys.items():
+        want = [(key(i), t, i % 3 == 0) for i, t in enumerate(texts)]
+        rows = lm.Rows(kind)
+        columns = [pa.array(c, t) for c, t in zip(zip(*want, strict=True), rows.schema.types, strict=True)]
+        batch = pa.RecordBatch.from_arrays([*columns, pa.array([i % 5 for i in range(len(want))])], [*rows.schema.names, "block"])
+        (sent,) = rows.dealt(iter([batch.slice(0, 100), batch.slice(100)]))
+        assert sent.column("block").to_pylist() == [0, 1, 2, 3, 4]
+        assert sum(map(len, sent.column("rows").to_pylist())) < sum(len(t or "") for t in texts) / 3
+        for i in range(5):
+            got = rows.unpack(pa.Table.from_batches([sent.slice(i, 1)]))
+            assert [tuple(r.values()) for r in got.to_pylist()] == want[i::5]
+    days = [(datetime.date(2020, 1, 1 + i), "a b c") for i in range(9)]
+    got = lm.score(spark.createDataFrame(days, "doc_id date, text string"), F.lit(False), block_bytes=10).collect()
+    assert sorted(r.doc_id for r in got) == [d for d, _ in days] and {r.n_known for r in got} == {4}
