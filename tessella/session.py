@@ -6,8 +6,10 @@ import atexit
 import gc
 import re
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,6 +72,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Collects the driver's objects of jobs that have ended.
+
+    Events on their way to listeners hold plans, so those go first. Python lets go of objects in a thread of its own, and what
+    the JVM's first collection finds, others may have held: one collection was seen to free nothing, the second everything.
+    """
+    gc.collect()
+    try:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    except Py4JError:  # a slow listener: what its events hold goes with a later collection
+        pass
+    for _ in range(3):
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
