@@ -36,14 +36,14 @@ def without_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of ``SLICE`` rows at most whose texts or bytes (column 1) have ``BYTES`` at most; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of ``rows`` rows at most whose texts or bytes (column 1) have ``BYTES`` at most; a longer text is a part of its own."""
     texts = batch.num_columns > 1 and (pa.types.is_string(batch.column(1).type) or pa.types.is_binary(batch.column(1).type))
     size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False) if texts else np.zeros(batch.num_rows, np.int64)
     ends, start = np.cumsum(size), 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, min(start + SLICE, int(np.searchsorted(ends, before + BYTES, side="right"))))
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + BYTES, side="right"))))
         yield batch.slice(start, stop - start)
         start = stop
 

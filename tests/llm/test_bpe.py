@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -87,3 +89,15 @@ def test_encoder_releases_the_broadcast_value(spark):
     bpe.worker_encoder("test", held)
     assert "_value" not in vars(held) and held.value["merges"]
     bpe._WORKER.clear()
+
+
+def test_words_of_a_batch_are_merged_together(library):
+    rng = random.Random(9)
+    letters = "aeinorstthehe'0.,#é漢Σİ́ﬁ"
+    texts = ["".join(rng.choice(letters + " \n\x1c\x85") for _ in range(rng.randrange(400))) for _ in range(60)]
+    texts += [None, "", "a" * 33, "the " * 3000, "x" * 5000, "Ab <|endoftext|>cd<|endoftext|> THE", "\x1d\x1eone\x1ftwo it's 'LL"]
+    encoder = bpe.Encoder(bpe.vocabulary(bpe.default_path()), 50)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for n in (1, 7, len(texts)):
+        got = [x for i in range(0, len(texts), n) for x in encoder.encode_all(texts[i : i + n])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -88,3 +89,30 @@ def test_large_ids_are_refused(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(idfiles.bpe, "vocabulary", lambda path, make=idfiles.bpe.vocabulary: make(path) | {"special": {"<x>": 70000}})
     with __import__("pytest").raises(ValueError, match="70000"):
         idfiles.write(spark.createDataFrame([(1, "a")], "doc_id long, text string"), str(tmp_path / "x"))
+
+
+def test_frames_share_a_model(monkeypatch):
+    monkeypatch.setattr(idfiles, "BLOCK", 64)
+    monkeypatch.setattr(idfiles, "LANES", 7)
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.minimum(rng.geometric(0.01, 900), 65535), np.tile([7, 9, 49407, 65535], 90), rng.integers(0, 65536, 701), np.zeros(5, int)])
+    lengths = np.array([0, 1, 1500, len(ids) - 1501])
+    data = idfiles.frame(lengths, ids.astype(np.uint16))
+    found, checks, packed, sizes = idfiles.opened(data)
+    model = idfiles.model_of(data)
+    assert found.tolist() == lengths.tolist() and np.concatenate(idfiles.unpack_with(packed, sizes, model)).tolist() == ids.tolist()
+    (alone,) = idfiles.unpack_with([packed[5]], [sizes[5]], model)
+    assert alone.tolist() == ids[320:384].tolist() and checks[5] == zlib.crc32(alone.astype("<u4").tobytes())
+    for n in (0, 1):
+        _, _, packed, sizes = idfiles.opened(one := idfiles.frame(np.array([n]), ids[:n].astype(np.uint16)))
+        assert [b.tolist() for b in idfiles.unpack_with(packed, sizes, idfiles.model_of(one))] == [ids[:n].tolist()] * n
+
+
+def test_an_id_costs_two_microseconds():
+    """Coding and decoding took 3.7 microseconds of CPU an id, which no budget held."""
+    ids = np.minimum(np.random.default_rng(5).zipf(1.2, 2_000_000), 49407).astype(np.uint16)
+    start = time.process_time()
+    data = idfiles.frame(np.array([len(ids)]), ids)
+    _, _, packed, sizes = idfiles.opened(data)
+    assert np.array_equal(np.concatenate(idfiles.unpack_with(packed, sizes, idfiles.model_of(data))), ids)
+    assert time.process_time() - start < 2e-6 * len(ids)
