@@ -20,14 +20,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 import struct
 import unicodedata
 from array import array
 from collections.abc import Sequence
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -70,55 +68,6 @@ def vocabulary(path: str) -> dict:
     }
 
 
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
-#: Bytes of words that are merged in step; longer ones have a queue each.
-IN_STEP = 32
-#: The rank of two symbols that are never merged.
-NEVER = np.int32(0x7FFFFFFF)
-
-
-class Pairs:
-    """Ranks of pairs of ids, by an open hash table in arrays, and the id that each rank makes."""
-
-    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
-        self.bits = max(4, (8 * len(ranks)).bit_length())
-        n = 1 << self.bits
-        self.keys, self.values = np.full(n, ~np.uint64(0)), np.full(n, NEVER, np.int32)
-        pairs = np.array(list(ranks), np.uint64).reshape(-1, 2)
-        keys = pairs[:, 0] << np.uint64(32) | pairs[:, 1]
-        values = np.array([rank for rank, _ in ranks.values()], np.int32)
-        self.new = np.zeros(int(values.max(initial=0)) + 1, np.int64)
-        self.new[values] = [new for _, new in ranks.values()]
-        slot = self._slots(keys)
-        while len(keys):
-            free = self.values[slot] == NEVER
-            first = np.unique(np.where(free, slot, -1), return_index=True)[1]
-            put = first[free[first]]
-            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
-            left = np.ones(len(keys), bool)
-            left[put] = False
-            keys, values, slot = keys[left], values[left], (slot[left] + 1) % n
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-        slot = self._slots(keys)
-        out = self.values[slot]
-        some = np.flatnonzero((self.keys[slot] != keys) & (out != NEVER))
-        slot = slot[some]
-        while len(some):
-            slot = (slot + 1) & (len(self.keys) - 1)
-            at, mine = self.values[slot], self.keys[slot] == keys[some]
-            out[some] = np.where(mine, at, NEVER)
-            going = ~mine & (at != NEVER)
-            some, slot = some[going], slot[going]
-        return out
-
-
 class Encoder:
     """Encodes texts; remembers the chunks between ASCII white space, which no pre-token spans."""
 
@@ -126,8 +75,6 @@ class Encoder:
         self.remembered = remembered
         ids, suffix = vocab["ids"], vocab["suffix"]
         self.pattern = regex.compile(vocab["pattern"])
-        #: The same on lower-case ASCII, where the standard library's is faster; its white space has four more characters.
-        self.ascii = re.compile(ASCII_PATTERN) if vocab["pattern"] == PATTERN else None
         self.special = vocab["special"]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.strings = {i: s for s, i in [*ids.items(), *self.special.items()]}
@@ -137,8 +84,6 @@ class Encoder:
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(vocab["merges"]):
             self.ranks.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
-        self.pairs = Pairs(self.ranks)
-        self.inner_of, self.last_of = np.array(self.inner, np.int64), np.array(self.last, np.int64)
         self.decimals = {i: str(i) for i in self.strings}
         self.special_ids = {x: struct.pack("<I", i) for x, i in self.special.items()}
         self.chunks: dict[str, bytes] = {}
@@ -215,68 +160,6 @@ class Encoder:
             out.append(self.chunk(x) if found is None else found)
         return b"".join(out)
 
-    def merged_all(self, words: list[str]) -> list[bytes]:
-        """Packed ids of words: those of one length in step, each round the pair of least rank that comes first in each word, as the queue takes them."""
-        coded = [w.encode() for w in words]
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        out: list[bytes] = [b""] * len(words)
-        for length in np.unique(size).tolist():
-            mine = np.flatnonzero(size == length)
-            if length > IN_STEP:
-                for i in mine.tolist():
-                    ids = self.merged(coded[i])
-                    out[i] = struct.pack(f"<{len(ids)}I", *ids)
-                continue
-            data = np.frombuffer(b"".join([coded[i] for i in mine.tolist()]), np.uint8).reshape(-1, length)
-            symbols = self.inner_of[data]
-            symbols[:, -1] = self.last_of[data[:, -1]]
-            ranks = self.pairs.ranks(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(mine), -1)
-            while True:
-                n = symbols.shape[1]
-                at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(mine), np.int64)
-                best = ranks[np.arange(len(mine)), at] if n > 1 else np.full(len(mine), NEVER)
-                ended = best == NEVER
-                if ended.any():
-                    packed = symbols[ended].astype("<u4").tobytes()
-                    for k, i in enumerate(mine[ended].tolist()):
-                        out[i] = packed[4 * n * k : 4 * n * (k + 1)]
-                    going = ~ended
-                    mine, symbols, ranks, at, best = mine[going], symbols[going], ranks[going], at[going], best[going]
-                if not len(mine):
-                    break
-                rows = np.arange(len(mine))
-                kept = np.arange(n - 1) <= at[:, None]
-                symbols = np.where(kept, symbols[:, :-1], symbols[:, 1:])
-                symbols[rows, at] = self.pairs.new[best]
-                ranks = np.where(kept[:, :-1], ranks[:, :-1], ranks[:, 1:])
-                left, right = np.flatnonzero(at > 0), np.flatnonzero(at < n - 2)
-                ranks[left, at[left] - 1] = self.pairs.ranks(symbols[left, at[left] - 1], symbols[left, at[left]])
-                ranks[right, at[right]] = self.pairs.ranks(symbols[right, at[right]], symbols[right, at[right] + 1])
-        return out
-
-    def pre_tokens(self, text: str) -> list[str]:
-        """Pre-tokens of a text without special tokens."""
-        text = self.normal(text)
-        return (self.ascii if self.ascii is not None and text.isascii() else self.pattern).findall(text)
-
-    def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
-        """``encode`` of some texts, whose new words are merged together."""
-        plain = [t is None or self.cut is None or "<" not in t or not self.cut.search(t) for t in texts]
-        split = [self.pre_tokens(t or "") if p else [] for t, p in zip(texts, plain, strict=True)]
-        found = set().union(*split)
-        new = found - self.words.keys()
-        if len(self.words) + len(new) > self.remembered:
-            self.words.clear()
-            new = found
-        new = list(new)
-        self.words.update(zip(new, self.merged_all(new), strict=True))
-        word = self.words.__getitem__
-        out = [b"".join(map(word, s)) for s in split]
-        for x in new:
-            if len(x) > LONGEST_REMEMBERED:
-                del self.words[x]
-        return [o if p else self.encode(t) for o, p, t in zip(out, plain, texts, strict=True)]
-
     def decode(self, ids: Sequence[int]) -> str:
         """The vocabulary strings of ``ids`` in one string; this file names no decoder, so one space joins them."""
         return " ".join(map(self.strings.__getitem__, ids))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm import bpe
+from tessella.llm import batch_bpe, bpe
 from tessella.llm.batches import documents, release, slices
 from tessella.session import scratch
 from tessella.sources import table
@@ -411,27 +411,29 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str
     dealt = docs.repartitionByRange(max(1, -(-size // PART)), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = bpe.worker_encoder(digest, value, bpe.REMEMBERED_ALONE), TaskContext.get().partitionId(), 0
+        encoder, part, seq = batch_bpe.BatchEncoder(bpe.worker_encoder(digest, value)), TaskContext.get().partitionId(), 0
         keys: list = []
-        texts: list[bytes] = []
+        texts: list[np.ndarray] = []
         waiting = 0
-        end = struct.pack("<I", END)
 
         def close() -> pa.RecordBatch:
             nonlocal seq, waiting, keys, texts
-            ids = np.frombuffer(b"".join(texts), "<u4").astype(np.uint16)
-            data = frame(np.array([len(t) // 4 for t in texts]), ids)
+            lengths = np.array([len(t) + 1 for t in texts])
+            ids = np.full(lengths.sum(), END, np.uint16)
+            last = np.zeros(len(ids), bool)
+            last[np.cumsum(lengths) - 1] = True
+            ids[~last] = np.concatenate(texts)
+            data = frame(lengths, ids)
             columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([keys], pa.list_(arrow)), pa.array([data], pa.binary())]
             seq, waiting, keys, texts = seq + 1, 0, [], []
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "n_ids", "keys", "data"])
 
         for batch in batches:
             for some in slices(batch, ROWS):
-                for key, coded in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(1).to_pylist()), strict=True):
-                    ids = coded + end
+                for key, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
                     keys.append(key)
-                    texts.append(ids)
-                    waiting += len(ids) // 4
+                    texts.append(ids.astype(np.uint16))
+                    waiting += len(ids) + 1
                     if waiting >= FRAME_IDS:
                         yield close()
         if keys:

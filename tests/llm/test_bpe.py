@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer as Library
 
-from tessella.llm import bpe
+from tessella.llm import batch_bpe, bpe
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -96,8 +96,10 @@ def test_words_of_a_batch_are_merged_together(library):
     letters = "aeinorstthehe'0.,#é漢Σİ́ﬁ"
     texts = ["".join(rng.choice(letters + " \n\x1c\x85") for _ in range(rng.randrange(400))) for _ in range(60)]
     texts += [None, "", "a" * 33, "the " * 3000, "x" * 5000, "Ab <|endoftext|>cd<|endoftext|> THE", "\x1d\x1eone\x1ftwo it's 'LL"]
-    encoder = bpe.Encoder(bpe.vocabulary(bpe.default_path()), 50)
+    encoder = batch_bpe.BatchEncoder(bpe.Encoder(bpe.vocabulary(PATH)))
     want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    texts += ["it's'll 're've", "'", "a'", "'s", "d 'r", "e''s'sabc 't1'd23'mé"]
+    want += [library.encode(t, add_special_tokens=False).ids for t in texts[len(want) :]]
     for n in (1, 7, len(texts)):
-        got = [x for i in range(0, len(texts), n) for x in encoder.encode_all(texts[i : i + n])]
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+        got = [x for i in range(0, len(texts), n) for x in encoder.encode(texts[i : i + n])]
+        assert [x.tolist() for x in got] == want
