@@ -9,16 +9,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.functions.text import normalised
-from tessella.session import written
+from tessella.session import discard, written
 
 #: Rows whose words are held at a time, and shingles of which repeats are counted at a time.
 ROWS, COUNTED = 1_000, 4_000_000
 #: Shingles whose counts order prefixes. Any order gives the same pairs: a count that is not known costs time only.
 KNOWN = 1_000_000
+#: Shingles of the sets of a part of a group of near copies; a cell has two parts.
+A_CELL = 500_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,13 +52,23 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return found
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+def _packed(found: np.ndarray) -> bytes:
+    """The upper halves of sorted shingles, as differences by byte plane: under four bytes each."""
+    marks = (found >> 32) + (1 << 31)
+    steps = np.diff(marks, prepend=0).astype("<u4")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
-    """``id``, ``digest`` of the set and ``set``: the hashes of the distinct shingles of the normalised text, sorted."""
+def _marks(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps.astype(np.int64)) - (1 << 31)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = 5, whole: bool = False) -> DataFrame:
+    """``id``, ``digest`` of the set and ``set``: the hashes of the distinct shingles of the normalised text, sorted.
+
+    Of the hashes the upper halves are kept, packed (``_packed``); with ``whole`` all 64 bits of each.
+    """
     texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,13 +77,14 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = 5) -> Dat
                 part = batch.slice(start, ROWS)
                 sets = _sets(part.column(1), n)
                 digests = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests), _lists(sets)], ["id", "digest", "set"])
+                values = pa.array([s.tobytes() if whole else _packed(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests), values], ["id", "digest", "set"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, digest long, set array<long>")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, digest long, set binary")
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that some ``COUNTED`` successive ones repeat, with how often."""
+    """Marks of shingles that some ``COUNTED`` successive ones repeat, with how often."""
     waiting, held = [], 0
 
     def counted() -> pa.RecordBatch:
@@ -78,21 +92,24 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(hashes[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["hash", "n"])
 
     for batch in batches:
-        waiting.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
-        held += len(waiting[-1])
-        if held >= COUNTED:
-            yield counted()
-            waiting, held = [], 0
+        for value in batch.column(0):
+            waiting.append(_marks(value.as_py()))
+            held += len(waiting[-1])
+            if held >= COUNTED:
+                yield counted()
+                waiting, held = [], 0
     if held:
         yield counted()
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """``digest``, ``size`` and ``hash`` of the shingles on which a set meets every set as similar as ``threshold``, once for each set.
+    """``digest``, ``size`` and ``hash`` (a mark) of the shingles on which a set meets every set as similar as ``threshold``; a task has a set once.
 
     Of a set of s shingles these are the first ``s - ceil(threshold * s) + 1`` in an order that all
-    sets share: by a count, then by hash. The counts of frequent shingles put them last; they are
-    gathered where a part of a table repeats a shingle, and decide on time alone.
+    sets share: by a count, then by mark. Two shingles of the same mark are two of the set: where no
+    mark of two prefixes is equal, the one that ends first has none of its marks in the other set, so
+    too few are left to share. The counts of frequent marks put them last; they are
+    gathered where a part of a table repeats one, and decide on time alone.
     """
     spark = sets.sparkSession
     counts = sets.select("set").mapInArrow(_repeats, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -103,9 +120,16 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, n = held.value
+        seen: set[int] = set()
         for batch in batches:
-            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            digests, sets = [], []
+            for digest, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest not in seen:
+                    seen.add(digest)
+                    digests.append(digest)
+                    sets.append(_marks(value.as_py()))
+            size = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             row = np.repeat(np.arange(len(size)), size)
             starts = np.cumsum(size) - size
             if len(hashes):
@@ -117,39 +141,109 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
             taken = np.array([s - math.ceil(threshold * s - 1e-9) + 1 if s else 0 for s in size.tolist()], np.int64)
             kept = np.arange(len(flat)) - starts[row] < taken[row]
             row = row[kept]
-            columns = [batch.column(0).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(flat[kept])]
+            columns = [pa.array(np.array(digests, np.int64)[row]), pa.array(size[row].astype(np.int32)), pa.array(flat[kept].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["digest", "size", "hash"])
 
-    return sets.select("digest", "set").mapInArrow(run, "digest long, size int, hash long").distinct()
+    return sets.select("digest", "set").mapInArrow(run, "digest long, size int, hash int")
 
 
-def jaccard_join(docs: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8) -> DataFrame:
+def meeting(prefix: DataFrame, threshold: float) -> DataFrame:
+    """``a`` < ``b``, ``a_size`` and ``b_size`` of the sets that share a prefix shingle and are near in size. The rows of ``prefix`` move once, and those of marks that no other set has stay behind."""
+    once = prefix.repartition("hash").groupBy("hash", "digest", "size").agg(F.lit(1).alias("one"))
+    others = F.count("*").over(Window.partitionBy("hash"))
+    shared = written(once.select("hash", "digest", "size", others.alias("n")).filter("n > 1").drop("n"), "similarity-prefixes")
+    left, right = (shared.select("hash", F.col("digest").alias(side), F.col("size").alias(f"{side}_size")) for side in ("a", "b"))
+    near = F.least("a_size", "b_size") >= F.lit(threshold) * F.greatest("a_size", "b_size") - 1e-9
+    found = written(left.join(right, "hash").filter("a < b").filter(near).select("a", "b", "a_size", "b_size").distinct(), "similarity-pairs")
+    discard(shared)
+    return found
+
+
+def cells(pairs: DataFrame) -> DataFrame:
+    """``a`` and ``b`` of ``pairs`` with the cell (``g``, ``i``, ``j``) that compares them.
+
+    A pair's ``g`` is the least neighbour of ``a`` or ``a`` itself, which in a group of near copies is the same for most; a group of
+    more than ``A_CELL`` shingles is cut into parts, and a cell has the sets of two parts. So a set is sent to
+    a cell once, however many pairs it is in, and a cell's memory does not grow with the group.
+    """
+    sides = [pairs.select(F.col(x).alias("a"), F.col(f"{x}_size").alias("size"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]
+    least = sides[0].unionByName(sides[1]).groupBy("a").agg(F.least(F.min("other"), F.col("a")).alias("g"), F.max("size").alias("size"))
+    others = pairs.select("a", "b", "b_size").join(least.select("a", "g"), "a").select("g", F.col("b").alias("a"), F.col("b_size").alias("size"))
+    size = least.select("g", "a", "size").unionByName(others).distinct().groupBy("g").agg(F.sum("size").alias("total"))
+    large = size.filter(F.col("total") > A_CELL).select("g", F.ceil(F.col("total") / A_CELL).alias("parts"))
+    grouped = pairs.select("a", "b").join(least.select("a", "g").join(large, "g", "left"), "a")
+    i, j = (F.pmod(F.xxhash64(side), F.coalesce("parts", F.lit(1))) for side in ("a", "b"))
+    return grouped.select("a", "b", "g", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
+
+
+def compared(placed: DataFrame, sets: DataFrame, threshold: float, forest: bool) -> DataFrame:
+    """``left_id``, ``right_id`` and ``jaccard`` of the pairs of ``cells`` at or above ``threshold``; ``forest``: of each cell only those that join what was not joined before."""
+    kind = sets.schema["id"].dataType
+    arrow = to_arrow_type(kind)
+    where = ["g", "i", "j"]
+    needed = placed.select(*where, F.col("a").alias("digest")).unionByName(placed.select(*where, F.col("b").alias("digest"))).distinct()
+    sent = needed.join(sets, "digest").select("digest", "id", "set", *(F.col(c).alias(f"to_{c}") for c in where))
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        at = {d: k for k, d in enumerate(sets["digest"].to_pylist())}
+        each = [np.frombuffer(v.as_py(), np.int64) for v in sets["set"]]
+        parent = list(range(len(each)))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        left, right, share = [], [], []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            a, b = at[a], at[b]
+            x, y = each[a], each[b]
+            if forest and root(a) == root(b):
+                continue
+            both = np.concatenate((x, y))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            jaccard = common / (len(both) - common)
+            if jaccard >= threshold:
+                parent[root(a)] = root(b)
+                left.append(a)
+                right.append(b)
+                share.append(jaccard)
+        ids = sets["id"].combine_chunks().cast(arrow)
+        columns = [ids.take(pa.array(c, pa.int64())) for c in (left, right)]
+        return pa.table([*columns, pa.array(share, pa.float64())], names=["a_id", "b_id", "jaccard"])
+
+    name = kind.simpleString()
+    found = placed.groupBy(*where).cogroup(sent.groupBy(*(f"to_{c}" for c in where))).applyInArrow(run, f"a_id {name}, b_id {name}, jaccard double")
+    return found.select(F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), "jaccard")
+
+
+def jaccard_join(docs: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, forest: bool = False) -> DataFrame:
     """``left_id`` < ``right_id`` and ``jaccard`` of all pairs of different sets at or above ``threshold``; equal sets are linked to their least id.
 
     Equal sets are one class, known by a 64-bit digest, so groups of copies make no pairs among
-    themselves. Classes meet on prefix shingles (``prefixes``), and only the sets of those that meet
-    are shipped, to be compared whole. The sets are made once, and written.
+    themselves. Classes meet on prefix shingles (``prefixes``); the texts of those that meet are read
+    again, and their whole sets go to the cells (``cells``) that compare them. What a step has written goes when no later one reads it.
+    ``forest``: fewer pairs, as many as it takes to have the same connected components.
     """
-    sets = written(shingle_sets(docs, id_col, text_col, n).filter("size(`set`) > 0"), "similarity-sets")
-    classes = sets.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    prefix = written(prefixes(sets, threshold), "similarity-prefixes")
-    shared = prefix.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    prefix = prefix.join(shared, "hash", "left_semi")
-    left, right = (prefix.select("hash", F.col("digest").alias(side), F.col("size").alias(f"{side}_size")) for side in ("a", "b"))
-    near = F.least("a_size", "b_size") >= F.lit(threshold) * F.greatest("a_size", "b_size") - 1e-9
-    maybe = written(left.join(right, "hash").filter("a < b").filter(near).select("a", "b").distinct(), "similarity-pairs")
-    met = maybe.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    each = sets.join(met, "digest", "left_semi").join(classes.select("digest", F.col("least").alias("id")), ["digest", "id"]).dropDuplicates(["digest"])
-    a, b = (each.select(F.col("digest").alias(side), F.col("id").alias(f"{side}_id"), F.col("set").alias(f"{side}_set")) for side in ("a", "b"))
-    both = maybe.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    share = common / (F.size("a_set") + F.size("b_set") - common)
-    pairs = both.select(F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), share.alias("jaccard"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sets = written(shingle_sets(docs, "id", "text", n).filter("length(`set`) > 0"), "similarity-sets")
+    ids = written(sets.select("id", "digest"), "similarity-ids")
+    prefix = prefixes(sets, threshold)
+    pairs = meeting(prefix, threshold)
+    discard(sets)
+    placed = written(cells(pairs), "similarity-cells")
+    discard(pairs)
+    classes = ids.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    met = placed.select(F.col("a").alias("digest")).unionByName(placed.select(F.col("b").alias("digest"))).distinct().join(classes, "digest").select(F.col("least").alias("id"), "digest")
+    texts = docs.join(met, "id").select(F.struct("id", "digest").alias("key"), "text")
+    again = shingle_sets(texts, "key", "text", n, whole=True).filter("id.digest = digest")  # rows may share an id
+    whole = again.select("digest", F.col("id.id").alias("id"), "set").dropDuplicates(["digest"])
+    pairs = compared(placed, whole, threshold, forest)
     repeated = classes.filter("n > 1").select("digest", "least")
-    copies = sets.select("id", "digest").join(repeated, "digest").filter("id <> least")
-    return pairs.filter(F.col("jaccard") >= threshold).unionByName(
-        copies.select(F.col("least").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard"))
-    )
+    copies = ids.join(repeated, "digest").filter("id <> least")
+    return pairs.unionByName(copies.select(F.col("least").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard")))
 
 
 def exact_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
