@@ -20,8 +20,8 @@ from tessella.session import discard, written
 ROWS, COUNTED = 1_000, 4_000_000
 #: Shingles whose counts order prefixes. Any order gives the same pairs: a count that is not known costs time only.
 KNOWN = 1_000_000
-#: Shingles of the sets of a part of a group of near copies; a cell has two parts.
-A_CELL = 500_000
+#: Shingles of the sets of a part of a group of near copies, where a set counts as ``A_SET`` at least; a cell has two parts.
+A_CELL, A_SET = 500_000, 500
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -169,7 +169,7 @@ def cells(pairs: DataFrame) -> DataFrame:
     sides = [pairs.select(F.col(x).alias("a"), F.col(f"{x}_size").alias("size"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]
     least = sides[0].unionByName(sides[1]).groupBy("a").agg(F.least(F.min("other"), F.col("a")).alias("g"), F.max("size").alias("size"))
     others = pairs.select("a", "b", "b_size").join(least.select("a", "g"), "a").select("g", F.col("b").alias("a"), F.col("b_size").alias("size"))
-    size = least.select("g", "a", "size").unionByName(others).distinct().groupBy("g").agg(F.sum("size").alias("total"))
+    size = least.select("g", "a", "size").unionByName(others).distinct().groupBy("g").agg(F.sum(F.greatest("size", F.lit(A_SET))).alias("total"))
     large = size.filter(F.col("total") > A_CELL).select("g", F.ceil(F.col("total") / A_CELL).alias("parts"))
     grouped = pairs.select("a", "b").join(least.select("a", "g").join(large, "g", "left"), "a")
     i, j = (F.pmod(F.xxhash64(side), F.coalesce("parts", F.lit(1))) for side in ("a", "b"))
@@ -236,7 +236,8 @@ def jaccard_join(docs: DataFrame, id_col: str, text_col: str, n: int = 5, thresh
     placed = written(cells(pairs), "similarity-cells")
     discard(pairs)
     classes = ids.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    met = placed.select(F.col("a").alias("digest")).unionByName(placed.select(F.col("b").alias("digest"))).distinct().join(classes, "digest").select(F.col("least").alias("id"), "digest")
+    met = placed.select(F.col("a").alias("digest")).unionByName(placed.select(F.col("b").alias("digest"))).distinct().join(classes, "digest")
+    met = written(met.select(F.col("least").alias("id"), "digest"), "similarity-met")  # Spark sees how small it is, and texts need not move
     texts = docs.join(met, "id").select(F.struct("id", "digest").alias("key"), "text")
     again = shingle_sets(texts, "key", "text", n, whole=True).filter("id.digest = digest")  # rows may share an id
     whole = again.select("digest", F.col("id.id").alias("id"), "set").dropDuplicates(["digest"])

@@ -187,7 +187,7 @@ SELECT id, doc_id, 1.0 FROM s JOIN c USING (s) WHERE doc_id <> id
 
 
 def q_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = jaccard_join(documents(spark, sf_dir), "doc_id", "text").select("left_id", "right_id")  # equal texts have equal sets
+    edges = jaccard_join(documents(spark, sf_dir), "doc_id", "text", forest=True).select("left_id", "right_id")  # equal texts have equal sets
     return connected_components(edges, "left_id", "right_id").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster_id"))
 
 

@@ -68,9 +68,12 @@ def test_sets_of_a_group_are_sent_once(spark, tmp_path, monkeypatch):
     assert len(want) == 60 * 59 // 2
     rows = lambda df: df.selectExpr("g", "i", "j", "explode(array(a, b)) AS d").distinct().count()
     assert rows(sent[0]) == 60
+    some = S.jaccard_join(docs, "doc_id", "text", forest=True).count()
+    assert some == 59  # clusters need no more
     monkeypatch.setattr(S, "A_CELL", 2_000)
+    monkeypatch.setattr(S, "A_SET", 1)
     assert sorted(tuple(r) for r in S.jaccard_join(docs, "doc_id", "text").select("left_id", "right_id").collect()) == want
-    assert sent[1].select("i", "j").distinct().count() > 1 and rows(sent[1]) <= 60 * 6
+    assert sent[2].select("i", "j").distinct().count() > 1 and rows(sent[2]) <= 60 * 6
 
 
 def test_forest_has_the_same_components(spark, tmp_path):
