@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ ROWS, COUNTED = 1_000, 4_000_000
 KNOWN = 1_000_000
 #: Shingles of the sets of a part of a group of near copies, where a set counts as ``A_SET`` at least; a cell has two parts.
 A_CELL, A_SET = 500_000, 500
+#: Bits of the table in which ids are looked up before their texts move.
+BITS = 1 << 26
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,6 +55,11 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return found
 
 
+def _digest(found: np.ndarray) -> int:
+    n = xxhash.xxh64_intdigest(found.tobytes())
+    return n - (n >> 63 << 64)
+
+
 def _packed(found: np.ndarray) -> bytes:
     """The upper halves of sorted shingles, as differences by byte plane: under four bytes each."""
     marks = (found >> 32) + (1 << 31)
@@ -64,11 +72,8 @@ def _marks(data: bytes) -> np.ndarray:
     return np.cumsum(steps.astype(np.int64)) - (1 << 31)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = 5, whole: bool = False) -> DataFrame:
-    """``id``, ``digest`` of the set and ``set``: the hashes of the distinct shingles of the normalised text, sorted.
-
-    Of the hashes the upper halves are kept, packed (``_packed``); with ``whole`` all 64 bits of each.
-    """
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = 5) -> DataFrame:
+    """``id``, ``digest`` of the set and ``set``: the hashes of the distinct shingles of the normalised text, sorted; of each the upper half, packed (``_packed``)."""
     texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,9 +81,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = 5, whole:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 sets = _sets(part.column(1), n)
-                digests = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-                values = pa.array([s.tobytes() if whole else _packed(s) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests), values], ["id", "digest", "set"])
+                values = pa.array([_packed(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_digest(s) for s in sets], pa.int64()), values], ["id", "digest", "set"])
 
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, digest long, set binary")
 
@@ -121,7 +125,7 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, n = held.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (b.slice(start, ROWS) for b in batches for start in range(0, b.num_rows, ROWS)):
             digests, sets = [], []
             for digest, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if digest not in seen:
@@ -163,7 +167,7 @@ def cells(pairs: DataFrame) -> DataFrame:
     """``a`` and ``b`` of ``pairs`` with the cell (``g``, ``i``, ``j``) that compares them.
 
     A pair's ``g`` is the least neighbour of ``a`` or ``a`` itself, which in a group of near copies is the same for most; a group of
-    more than ``A_CELL`` shingles is cut into parts, and a cell has the sets of two parts. So a set is sent to
+    more than ``A_CELL`` shingles is cut into parts, and a cell has the sets of two parts. So a text is sent to
     a cell once, however many pairs it is in, and a cell's memory does not grow with the group.
     """
     sides = [pairs.select(F.col(x).alias("a"), F.col(f"{x}_size").alias("size"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]
@@ -176,17 +180,51 @@ def cells(pairs: DataFrame) -> DataFrame:
     return grouped.select("a", "b", "g", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
 
 
-def compared(placed: DataFrame, sets: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """``left_id``, ``right_id`` and ``jaccard`` of the pairs of ``cells`` at or above ``threshold``; ``forest``: of each cell only those that join what was not joined before."""
-    kind = sets.schema["id"].dataType
+def texts_of(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """``id`` and the compressed normalised ``text`` of the documents whose ids ``met`` has, and of a few more: ids are looked up in a table of ``BITS`` bits, so the others' texts don't move."""
+    at = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    bits = met.select(at.alias("at")).groupBy(F.expr("cast(at div 32 AS int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 32 AS int)))").alias("bits")).toArrow()
+    table = np.zeros(BITS // 32, np.int64)
+    table[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(table.astype(np.uint32))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(2).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(held.value[place // 32] >> (place % 32).astype(np.uint32) & 1 > 0)).select(["id", "text"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [zlib.compress(t.encode(), 1) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "text"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    raw = docs.select("id", F.col("text").cast("string").alias("text"), at.alias("at")).filter("id is not null and text is not null").mapInArrow(some, f"id {kind}, text string")
+    return raw.select("id", normalised(F.col("text")).alias("text")).mapInArrow(packed, f"id {kind}, text binary")
+
+
+def compared(placed: DataFrame, texts: DataFrame, met: DataFrame, n: int, threshold: float, forest: bool) -> DataFrame:
+    """``left_id``, ``right_id`` and ``jaccard`` of the pairs of ``cells`` at or above ``threshold``; ``forest``: of each cell only those that join what was not joined before.
+
+    Texts go to the cells, which make the whole sets: compressed they are a third of those.
+    """
+    kind = texts.schema["id"].dataType
     arrow = to_arrow_type(kind)
     where = ["g", "i", "j"]
     needed = placed.select(*where, F.col("a").alias("digest")).unionByName(placed.select(*where, F.col("b").alias("digest"))).distinct()
-    sent = needed.join(sets, "digest").select("digest", "id", "set", *(F.col(c).alias(f"to_{c}") for c in where))
+    needed = needed.join(met, "digest").select("id", "digest", *(F.col(c).alias(f"to_{c}") for c in where))
+    sent = texts.join(needed, "id")
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        at = {d: k for k, d in enumerate(sets["digest"].to_pylist())}
-        each = [np.frombuffer(v.as_py(), np.int64) for v in sets["set"]]
+        at, each, rows = {}, [], []
+        wanted = sets["digest"].to_pylist()
+        for lo in range(0, len(wanted), ROWS):
+            made = _sets(pa.array([zlib.decompress(t.as_py()).decode() for t in sets["text"][lo : lo + ROWS]], pa.string()), n)
+            for k, one in enumerate(made, lo):
+                if wanted[k] not in at and _digest(one) == wanted[k]:  # rows may share an id
+                    at[wanted[k]] = len(each)
+                    each.append(one)
+                    rows.append(k)
         parent = list(range(len(each)))
 
         def root(k: int) -> int:
@@ -210,7 +248,7 @@ def compared(placed: DataFrame, sets: DataFrame, threshold: float, forest: bool)
                 left.append(a)
                 right.append(b)
                 share.append(jaccard)
-        ids = sets["id"].combine_chunks().cast(arrow)
+        ids = sets["id"].combine_chunks().cast(arrow).take(pa.array(rows, pa.int64()))
         columns = [ids.take(pa.array(c, pa.int64())) for c in (left, right)]
         return pa.table([*columns, pa.array(share, pa.float64())], names=["a_id", "b_id", "jaccard"])
 
@@ -224,7 +262,7 @@ def jaccard_join(docs: DataFrame, id_col: str, text_col: str, n: int = 5, thresh
 
     Equal sets are one class, known by a 64-bit digest, so groups of copies make no pairs among
     themselves. Classes meet on prefix shingles (``prefixes``); the texts of those that meet are read
-    again, and their whole sets go to the cells (``cells``) that compare them. What a step has written goes when no later one reads it.
+    again and go to the cells (``cells``) that compare their whole sets. What a step has written goes when no later one reads it.
     ``forest``: fewer pairs, as many as it takes to have the same connected components.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -237,11 +275,8 @@ def jaccard_join(docs: DataFrame, id_col: str, text_col: str, n: int = 5, thresh
     discard(pairs)
     classes = ids.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     met = placed.select(F.col("a").alias("digest")).unionByName(placed.select(F.col("b").alias("digest"))).distinct().join(classes, "digest")
-    met = written(met.select(F.col("least").alias("id"), "digest"), "similarity-met")  # Spark sees how small it is, and texts need not move
-    texts = docs.join(met, "id").select(F.struct("id", "digest").alias("key"), "text")
-    again = shingle_sets(texts, "key", "text", n, whole=True).filter("id.digest = digest")  # rows may share an id
-    whole = again.select("digest", F.col("id.id").alias("id"), "set").dropDuplicates(["digest"])
-    pairs = compared(placed, whole, threshold, forest)
+    met = written(met.select(F.col("least").alias("id"), "digest"), "similarity-met")
+    pairs = compared(placed, texts_of(docs, met), met, n, threshold, forest)
     repeated = classes.filter("n > 1").select("digest", "least")
     copies = ids.join(repeated, "digest").filter("id <> least")
     return pairs.unionByName(copies.select(F.col("least").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard")))
